@@ -5,13 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import topn
+from lantern.lineage import cut
+from lantern.llm import crosssplit, quantiles, rankwalk, related, topn
+
+SCORES = ["s_comb_score", "trace_elev_score", "causal_residual_z", "log_anomaly_score"]
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_order(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rankwalk.valid_profiles(_t(spark, folder, "candidate_evidence_profile"), SCORES)
+    return rankwalk.rank_walk(rows.where("service is not null"), "case_id", "service", SCORES).withColumnRenamed("service", "entity")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    # The first of each case, as an aggregate: it combines on the map side and the walk runs once.
+    order = p1_order(spark, folder)
+    per = order.groupBy("case_id", "stationarity").agg(F.min("entity").alias("entity"))
+    return per.groupBy("case_id").agg(F.max_by("entity", "stationarity").alias("entity"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.overlaps(_t(spark, folder, "rag2_query_split"))
+
+
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation records that are also in train, per split and source."""
+    table = _t(spark, folder, "rag2_query_split")
+    hit = crosssplit.overlaps(table).groupBy("record_id_b").agg(F.count("*").alias("partners"))
+    rows = table.select("record_id", crosssplit.clean_split(F.col("split")).alias("split"), "source").where("split <> 'train'").distinct()
+    joined = rows.join(hit, F.col("record_id") == F.col("record_id_b"), "left")
+    return joined.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("partners").alias("also_in_train"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+
+
+MEASURES = ["caller_p10", "caller_p90", "call_count"]
+
+
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """(caller, callee, day, measure, _v): each attribution once; null, NaN and negative values and null names don't count."""
+    cols = ["caller_service", "callee_service", "observed_at", *MEASURES]
+    rows = _t(spark, folder, "edge_attribution").where("attribution_id is not null and callee_service is not null and caller_service is not null")
+    once = cut(topn.latest(rows.select("attribution_id", "arrived_at", *cols), ["attribution_id"], "arrived_at", cols).drop("attribution_id"))
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in MEASURES])
+    long = once.select("caller_service", "callee_service", "observed_at", F.inline(each))
+    return long.where("x >= 0 and not isnan(x)").select("caller_service", "callee_service", "observed_at", "measure", quantiles.to_ordered(F.col("x")).alias("_v"))
+
+
+EDGE = ["caller_service", "callee_service", "measure"]
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _measured(spark, folder).where("observed_at is not null").withColumn("after", F.col("observed_at") >= F.lit("2025-03-01").cast("timestamp_ntz"))
+    medians = quantiles.exact(rows, [*EDGE, "after"], [0.5])
+    side = medians.groupBy(*EDGE).agg(*[F.max(F.when(F.col("after") == a, F.col(c))).alias(f"{c}_{a}".lower()) for a in (True, False) for c in ("n", "value")])
+    return side.where("n_true >= 20 and n_false >= 20 and value_true >= 2 * value_false").select(*EDGE)
+
+
+def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact 10th, 50th and 90th percentile of every edge, measure and day."""
+    rows = _measured(spark, folder).withColumn("day", F.col("observed_at").cast("date"))
+    q = quantiles.exact(rows, [*EDGE, "day"], [0.1, 0.5, 0.9])
+    return q.select(*EDGE, "day", "n", "q", F.round("value", 6).alias("value"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _t(spark, folder, "ranked_entity").select("case_id", "method", "entity", "score", "computed_at")
     valid = lambda x: topn.latest(x, ["case_id", "method", "entity"], "computed_at", ["score"])
@@ -19,11 +77,65 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("case_id", "method", "entity", F.col("place").cast("int").alias("place"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    cases = cut(related.valid_cases(_t(spark, folder, "manifest_case")))
+    unit_of = related.units(cases.where("family is not null"), "case_id", ["family"])
+    return related.breaches(unit_of, cases.where("partition in ('dev', 'val', 'held_out')"), "case_id", "partition").select("case_id")
+
+
+def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """A leak-free partition of every case: half dev, a quarter each val and held_out, whole families."""
+    cases = cut(related.valid_cases(_t(spark, folder, "manifest_case")))
+    unit_of = related.units(cases, "case_id", ["family"])
+    return related.deal(unit_of, "case_id", {"dev": 0.5, "val": 0.25, "held_out": 0.25})
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_order": p1_order,
+    "p2_found": p2_found,
+    "p2_counts": p2_counts,
+    "p3_found": p3_found,
+    "p3_daily": p3_daily,
+    "p5_found": p5_found,
+    "p5_splits": p5_splits,
     "p4_found": p4_found,
 }
 
+_MEASURED = """
+WITH once AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attribution_id ORDER BY arrived_at DESC NULLS LAST) AS rn FROM edge_attribution
+                 WHERE callee_service IS NOT NULL AND caller_service IS NOT NULL AND attribution_id IS NOT NULL) WHERE rn = 1),
+long AS (
+  SELECT caller_service, callee_service, observed_at, measure, x FROM (
+    SELECT caller_service, callee_service, observed_at, 'caller_p10' AS measure, caller_p10 AS x FROM once
+    UNION ALL SELECT caller_service, callee_service, observed_at, 'caller_p90', caller_p90 FROM once
+    UNION ALL SELECT caller_service, callee_service, observed_at, 'call_count', CAST(call_count AS DOUBLE) FROM once)
+  WHERE x >= 0 AND NOT isnan(x))"""
+
 ORACLES = {
+    "p3_found": _MEASURED + """
+SELECT caller_service, callee_service, measure FROM long GROUP BY ALL
+HAVING count(*) FILTER (observed_at >= TIMESTAMP '2025-03-01') >= 20 AND count(*) FILTER (observed_at < TIMESTAMP '2025-03-01') >= 20
+   AND median(x) FILTER (observed_at >= TIMESTAMP '2025-03-01') >= 2 * median(x) FILTER (observed_at < TIMESTAMP '2025-03-01')""",
+    "p3_daily": _MEASURED + """
+, each AS (SELECT caller_service, callee_service, measure, CAST(observed_at AS DATE) AS day, count(*) AS n,
+                  quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.9) AS c FROM long GROUP BY ALL)
+SELECT caller_service, callee_service, measure, day, n, CAST(0.1 AS DOUBLE) AS q, round(a, 6) AS value FROM each
+UNION ALL SELECT caller_service, callee_service, measure, day, n, CAST(0.5 AS DOUBLE), round(b, 6) FROM each
+UNION ALL SELECT caller_service, callee_service, measure, day, n, CAST(0.9 AS DOUBLE), round(c, 6) FROM each""",
+    "p5_found": """
+WITH valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY listed_at DESC) AS rn FROM manifest_case) WHERE rn = 1),
+clean AS (
+  SELECT case_id,
+    regexp_replace(regexp_replace(lower(coalesce(nullif(trim(suite), ''), split_part(dataset, '-', 1))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS suite,
+    regexp_replace(regexp_replace(lower(system), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS system,
+    nullif(regexp_replace(regexp_replace(lower(root_cause_service), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '') AS service,
+    regexp_replace(regexp_replace(lower(fault), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS fault,
+    regexp_replace(regexp_replace(lower(partition), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS part FROM valid),
+counted AS (SELECT * FROM clean WHERE service IS NOT NULL AND part IN ('dev', 'val', 'held_out')),
+bad AS (SELECT suite, system, service, fault FROM counted GROUP BY ALL HAVING count(DISTINCT part) > 1)
+SELECT case_id FROM counted JOIN bad USING (suite, system, service, fault)""",
     "p4_found": """
 WITH valid AS (
   SELECT case_id, method, entity, score FROM (
