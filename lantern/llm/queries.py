@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.lineage import cut
-from lantern.llm import crosssplit, quantiles, rankwalk, related, topn
+from lantern.llm import bpe, crosssplit, mixture, quantiles, rankwalk, readinglevel, related, topn
 
 SCORES = ["s_comb_score", "trace_elev_score", "causal_residual_z", "log_anomaly_score"]
 
@@ -90,7 +90,43 @@ def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
     return related.deal(unit_of, "case_id", {"dev": 0.5, "val": 0.25, "held_out": 0.25})
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    sources, _ = mixture.plan(mixture.token_sizes(_t(spark, folder, "documents")), _t(spark, folder, "mix_target"))
+    return sources.where("short").select("source")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of the size of all documents: what every source was to give and really gives."""
+    return mixture.report(mixture.token_sizes(_t(spark, folder, "documents")), _t(spark, folder, "mix_target"))
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in that mix."""
+    sizes = cut(mixture.token_sizes(_t(spark, folder, "documents")))
+    return mixture.select(sizes, mixture.plan(sizes, _t(spark, folder, "mix_target"))[1])
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return readinglevel.college(_t(spark, folder, "documents"))
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of prose, language flag and expected grade of every document."""
+    levels = readinglevel.reading_levels(_t(spark, folder, "documents"))
+    return levels.select("doc_id", "words", "sentences", "english", F.round("grade", 3).alias("grade"), F.round("college", 4).alias("college"))
+
+
 QUERIES = {
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_mix": p7_mix,
+    "p7_selection": p7_selection,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
     "p1_found": p1_found,
     "p1_order": p1_order,
     "p2_found": p2_found,
