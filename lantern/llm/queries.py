@@ -16,15 +16,14 @@ def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def p1_order(spark: SparkSession, folder: str) -> DataFrame:
-    rows = rankwalk.valid_profiles(_t(spark, folder, "candidate_evidence_profile"), SCORES)
-    return rankwalk.rank_walk(rows.where("service is not null"), "case_id", "service", SCORES).withColumnRenamed("service", "entity")
+    """All candidates of every case in one order."""
+    rows = _t(spark, folder, "candidate_evidence_profile").select("case_id", "profile_id", "entity", "service_id", *SCORES, "scored_at", "ingested_at")
+    walked = rankwalk.rank_walk(rows, "case_id", "service", SCORES, prepare=lambda x: rankwalk.valid_profiles(x, SCORES))
+    return walked.withColumnRenamed("service", "entity")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    # The first of each case, as an aggregate: it combines on the map side and the walk runs once.
-    order = p1_order(spark, folder)
-    per = order.groupBy("case_id", "stationarity").agg(F.min("entity").alias("entity"))
-    return per.groupBy("case_id").agg(F.max_by("entity", "stationarity").alias("entity"))
+    return p1_order(spark, folder).where("place = 1").select("case_id", "entity")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

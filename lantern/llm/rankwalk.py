@@ -9,14 +9,16 @@ the sorted score, so a step costs O(n) and no pair of items is ever formed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lantern.blocks import running
 from lantern.lineage import cut
 from lantern.llm.topn import split_heavy
 
@@ -58,9 +60,9 @@ def _stationary(groups: np.ndarray, sizes: np.ndarray, scores: list[np.ndarray],
 def _light(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance: float) -> DataFrame:
     """Groups of bounded size: packed to one row each, many walked at once in numpy."""
     row = F.struct("_item", *[f"_s{i}" for i in range(n_scores)])
-    packed = df.groupBy("_group").agg(F.collect_list(row).alias("rows"))
+    packed = df.groupBy("_group").agg(F.collect_list(row).alias("rows"))  # df is already clustered by group
     item_type, group_type = df.schema["_item"].dataType, df.schema["_group"].dataType
-    out = T.StructType([T.StructField("_group", group_type), T.StructField("_item", item_type), T.StructField("_p", T.DoubleType())])
+    out = T.StructType([T.StructField("_group", group_type), T.StructField("_item", item_type), T.StructField("_p", T.DoubleType()), T.StructField("_place", T.IntegerType())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,8 +75,12 @@ def _light(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
                 ids = np.repeat(np.arange(len(size)), size)
                 scores = [part.field(i + 1).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(n_scores)]
                 p = _stationary(ids, size, scores, damping, steps, tolerance)
-                group = batch.column("_group")[at:upto].take(pa.array(ids))
-                yield pa.RecordBatch.from_arrays([group, part.field(0), pa.array(p)], ["_group", "_item", "_p"])
+                flat = pa.table({"g": ids, "p": -np.round(p, DIGITS), "i": part.field(0)})
+                order = pc.sort_indices(flat, sort_keys=[("g", "ascending"), ("p", "ascending"), ("i", "ascending")])
+                laid = flat.take(order)
+                group = batch.column("_group")[at:upto].take(laid["g"].combine_chunks())
+                place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size) + 1
+                yield pa.RecordBatch.from_arrays([group, laid["i"].combine_chunks(), pc.negate(laid["p"].combine_chunks()), pa.array(place, pa.int32())], ["_group", "_item", "_p", "_place"])
                 at = upto
 
     return packed.mapInArrow(walk, out)
@@ -85,8 +91,6 @@ def _heavy(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
     long = df.select("_group", "_item", F.posexplode(F.array(*[f"_s{i}" for i in range(n_scores)])).alias("_k", "_v"))
     values = long.groupBy("_group", "_k", "_v").agg(F.count("*").alias("_n"))
     # Distinct values get dense numbers by their order; null sorts first, which is the lowest place.
-    from lantern.blocks import running
-
     dense = cut(running(values, ["_group", "_k"], [F.col("_v").asc_nulls_first()], "_n").select("_group", "_k", "_v", F.col("_pos").alias("_i"), F.col("_sum").alias("_upto")))
     sizes = df.groupBy("_group").agg(F.count("*").alias("_size"))
     same = F.col("l._group").eqNullSafe(F.col("d._group")) & (F.col("l._k") == F.col("d._k")) & F.col("l._v").eqNullSafe(F.col("d._v"))
@@ -112,26 +116,46 @@ def _heavy(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
     return p
 
 
-def rank_walk(df: DataFrame, group: str, item: str, scores: Sequence[str], damping: float = 0.85, steps: int = 300, tolerance: float = 1e-12, heavy_rows: int = 1000) -> DataFrame:
+def rank_walk(
+    df: DataFrame,
+    group: str,
+    item: str,
+    scores: Sequence[str],
+    damping: float = 0.85,
+    steps: int = 300,
+    tolerance: float = 1e-12,
+    heavy_rows: int = 2000,
+    prepare: Callable[[DataFrame], DataFrame] = lambda x: x,
+) -> DataFrame:
     """(group, item, stationarity, place): every item of every group in one order; more is higher in every score.
 
-    Items must be unique in a group (repeated (group, item) rows are walked as one, with the largest value of each score).
-    A null or NaN score is no evidence: the item takes the lowest place of that score, tied with others without one.
-    Infinities are ordinary largest and smallest values.  Equal stationarity (9 decimals) is ordered by item, ascending.
-    Rows without group or item form the group or item null.  An empty table gives an empty table.
+    ``prepare`` cleans rows within their group (revisions, names) and runs after groups were split by size, so that the
+    rows of light groups move once only.  Repeated (group, item) rows are walked as one, with the largest value of each
+    score.  A null or NaN score is no evidence: the item takes the lowest place of that score, tied with others without
+    one.  Infinities are ordinary largest and smallest values.  Equal stationarity (9 decimals) is ordered by item,
+    ascending.  Rows without group or item form the group or item null.  An empty table gives an empty table.
     """
     clean = [F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double")).alias(f"_s{i}") for i, s in enumerate(scores)]
-    rows = df.select(F.col(group).alias("_group"), F.col(item).alias("_item"), *clean)
-    once = rows.groupBy("_group", "_item").agg(*[F.max(f"_s{i}").alias(f"_s{i}") for i in range(len(scores))])
-    light, heavy = split_heavy(once, ["_group"], heavy_rows)
-    walked = _light(light, len(scores), damping, steps, tolerance)
+
+    def once(rows: DataFrame) -> DataFrame:
+        named = prepare(rows).select(F.col(group).alias("_group"), F.col(item).alias("_item"), *clean)
+        return named.groupBy("_group", "_item").agg(*[F.max(f"_s{i}").alias(f"_s{i}") for i in range(len(scores))])
+
+    light, heavy = split_heavy(df, [group], heavy_rows)
+    walked = _light(once(light.repartition(F.col(group))), len(scores), damping, steps, tolerance)
     if heavy is not None:
-        walked = walked.unionByName(_heavy(heavy, len(scores), damping, min(steps, 120), max(tolerance, 1e-10)))
-    return walked.select(F.col("_group").alias(group), F.col("_item").alias(item), F.round("_p", DIGITS).alias("stationarity"))
+        p = _heavy(cut(once(heavy)), len(scores), damping, min(steps, 120), max(tolerance, 1e-10))
+        rounded = p.withColumn("_p", F.round("_p", DIGITS))
+        placed = running(rounded, ["_group"], [F.col("_p").desc(), F.col("_item").asc()])
+        walked = walked.unionByName(placed.select("_group", "_item", "_p", F.col("_pos").cast("int").alias("_place")))
+    return walked.select(F.col("_group").alias(group), F.col("_item").alias(item), F.col("_p").alias("stationarity"), F.col("_place").alias("place"))
 
 
 def valid_profiles(profiles: DataFrame, scores: Sequence[str]) -> DataFrame:
-    """(case_id, service, scores): the valid revision of each profile; its service is entity, or service_id where that is empty."""
+    """(case_id, service, scores): the valid revision of each profile of a case; its service is entity, or service_id where that is empty.
+
+    A profile without any name has no candidate and is left out.
+    """
     name = F.coalesce(F.nullif(F.trim("entity"), F.lit("")), F.nullif(F.trim("service_id"), F.lit("")))
-    newest = F.max(F.struct("ingested_at", "scored_at", "case_id", name.alias("service"), *scores)).alias("m")
-    return profiles.groupBy("profile_id").agg(newest).select("m.case_id", "m.service", *[f"m.{s}" for s in scores])
+    newest = F.max(F.struct("ingested_at", "scored_at", name.alias("service"), *scores)).alias("m")
+    return profiles.groupBy("case_id", "profile_id").agg(newest).select("case_id", "m.service", *[f"m.{s}" for s in scores]).where("service is not null")
