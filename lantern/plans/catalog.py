@@ -1,4 +1,6 @@
 """Every registered query of the core and its SQL twin."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lantern.plans import telemetry_queries
+
+QUERIES: dict = {**telemetry_queries.QUERIES}
+ORACLES: dict = {**telemetry_queries.ORACLES}
