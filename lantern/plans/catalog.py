@@ -1,6 +1,8 @@
 """Every registered query of the core and its SQL twin."""
 
-from lantern.plans import telemetry_queries
+from lantern.plans import causal_queries, evaluation_queries, retrieval_queries, telemetry_queries
 
-QUERIES: dict = {**telemetry_queries.QUERIES}
-ORACLES: dict = {**telemetry_queries.ORACLES}
+PARTS = (telemetry_queries, evaluation_queries, retrieval_queries, causal_queries)
+
+QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in PARTS for k, v in p.ORACLES.items()}
