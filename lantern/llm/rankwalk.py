@@ -124,7 +124,7 @@ def rank_walk(
     damping: float = 0.85,
     steps: int = 300,
     tolerance: float = 1e-12,
-    heavy_rows: int = 2000,
+    heavy_rows: int = 50_000,
     prepare: Callable[[DataFrame], DataFrame] = lambda x: x,
 ) -> DataFrame:
     """(group, item, stationarity, place): every item of every group in one order; more is higher in every score.
@@ -144,7 +144,7 @@ def rank_walk(
     light, heavy = split_heavy(df, [group], heavy_rows)
     walked = _light(once(light.repartition(F.col(group))), len(scores), damping, steps, tolerance)
     if heavy is not None:
-        p = _heavy(cut(once(heavy)), len(scores), damping, min(steps, 120), max(tolerance, 1e-10))
+        p = _heavy(cut(once(heavy)), len(scores), damping, steps, tolerance)
         rounded = p.withColumn("_p", F.round("_p", DIGITS))
         placed = running(rounded, ["_group"], [F.col("_p").desc(), F.col("_item").asc()])
         walked = walked.unionByName(placed.select("_group", "_item", "_p", F.col("_pos").cast("int").alias("_place")))

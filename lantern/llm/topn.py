@@ -22,18 +22,27 @@ def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
     return on
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """(light rows, heavy rows or None).  The heavy keys number at most :data:`MOST_HEAVY`, so they are broadcast."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_rows)
-    found = counts.orderBy(F.desc("_n")).limit(MOST_HEAVY + 1).collect()
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > heavy_rows)
+    found = counts.orderBy(F.desc("_rows")).limit(MOST_HEAVY + 1).collect()
     if len(found) > MOST_HEAVY:  # then raise the bar to a share of all rows: at most MOST_HEAVY groups can pass it
         bar = df.count() // MOST_HEAVY
-        found = [r for r in found if r["_n"] > bar]
+        found = [r for r in found if r["_rows"] > bar]
     if not found:
         return df, None
-    schema = counts.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).schema
+    names = [unused(df, f"_h{i}") for i in range(len(keys))]
+    schema = counts.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).schema
     heavy = F.broadcast(df.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], schema))
-    on = _null_safe(keys, [f"_h{i}" for i in range(len(keys))])
+    on = _null_safe(keys, names)
     return df.join(heavy, on, "left_anti"), df.join(heavy, on, "left_semi")
 
 
