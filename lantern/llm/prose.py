@@ -23,7 +23,7 @@ _KEY = re.compile(r"^\s*[\w.\-\"']+\s*[:=]\s*\S*\s*$|^\s*[\w.\-]+\s+=\s|^\s*\[[^
 _CODE = re.compile(r"\w=\S|[{}]|\s--?\w+|\w\(\S*\)|::|\s/\w+/\w|^\s*at\s+\S+\(|\s\|\s|;\s*$|=>|&&|^\s*\$\s|\d\d:\d\d:\d\d")
 _LEVEL = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\S*\s+)?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|warn|level=)\b")
 _WORDLIKE = re.compile(r"^[(\"'\u2018\u201c]*[^\W\d_]+(?:['\u2019\-][^\W\d_]+)*[)\"'\u2019\u201d.,;:!?]*$")
-_SHORTENED = re.compile(r"\b(e\.g|i\.e|etc|vs|cf|approx|Dr|Mr|Mrs|Ms|St|No|Fig)\.", re.I)
+_SHORTENED = re.compile(r"\b(e\.g|i\.e|E\.g|I\.e|etc|vs|cf|approx|Dr|Mr|Mrs|Fig)\.")
 _END = re.compile(r"(?<=[.!?\u3002\uff01\uff1f])[\"'\u2019\u201d)\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
 _SPLIT = re.compile(r"\S+")
@@ -72,7 +72,7 @@ def paragraphs(text: str) -> list[str]:
         if not line.strip():
             continue
         if _is_prose(line):
-            current.append(line.strip())
+            current.append(" ".join(line.split()))
         else:
             close()
     close()
