@@ -76,6 +76,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("case_id", "method", "entity", F.col("place").cast("int").alias("place"))
 
 
+def p4_held(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best of each case and method, and whether the stored rank of the valid row is their place."""
+    keys = ["case_id", "method", "entity"]
+    stored = topn.latest(_t(spark, folder, "ranked_entity").select(*keys, "computed_at", "score", "rank"), keys, "computed_at", ["score", "rank"]).select(*keys, F.col("rank").alias("stored_rank"))
+    held = p4_found(spark, folder).join(stored, keys, "left")
+    return held.select(*keys, "place", "stored_rank", F.coalesce(F.col("stored_rank") == F.col("place"), F.lit(False)).alias("agrees"))
+
+
+def p4_reported(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reported list of candidates beside the three best by method 'pairwise'."""
+    place = F.struct("place", "entity")
+    best = p4_found(spark, folder).where("method = 'pairwise'").groupBy("case_id").agg(F.sort_array(F.collect_list(place)).alias("b"))
+    computed = best.select("case_id", F.array_join(F.transform("b", lambda x: x["entity"]), ",").alias("computed"))
+    told = _t(spark, folder, "canonical_locked_test_results").select("case_id", F.array_join("top_candidates", ",").alias("reported")).distinct()
+    return told.join(computed, "case_id", "left").select("case_id", "reported", "computed", F.coalesce(F.col("reported") == F.col("computed"), F.lit(False)).alias("same"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     cases = cut(related.valid_cases(_t(spark, folder, "manifest_case")))
     unit_of = related.units(cases.where("family is not null"), "case_id", ["family"])
@@ -89,6 +106,14 @@ def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
     return related.deal(unit_of, "case_id", {"dev": 0.5, "val": 0.25, "held_out": 0.25})
 
 
+def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What each split of that partition has: cases, families, and families that lie in another split as well (none)."""
+    dealt = cut(p5_splits(spark, folder))
+    per = dealt.groupBy("unit").agg(F.count_distinct("split").alias("n"))
+    both = dealt.join(per.withColumnRenamed("unit", "_u"), F.col("unit") == F.col("_u"))
+    return both.groupBy("split").agg(F.count("*").alias("cases"), F.count_distinct("unit").alias("units"), F.count_if(F.col("n") > 1).alias("breaches"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
 
@@ -119,7 +144,19 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
     return levels.select("doc_id", "words", "sentences", "english", F.round("grade", 3).alias("grade"), F.round("college", 4).alias("college"))
 
 
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by source and grade: English documents with at least 50 words of prose."""
+    docs = _t(spark, folder, "documents")
+    levels = readinglevel.reading_levels(docs).where("words >= 50 and english")
+    named = levels.join(docs.select(F.col("doc_id").alias("_d"), mixture.clean_source(F.col("source")).alias("source")), F.col("doc_id") == F.col("_d"))
+    return named.groupBy("source", F.floor("grade").cast("int").alias("grade")).agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
+
+
 QUERIES = {
+    "p4_held": p4_held,
+    "p4_reported": p4_reported,
+    "p5_shares": p5_shares,
+    "p8_profile": p8_profile,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
@@ -148,7 +185,15 @@ long AS (
     UNION ALL SELECT caller_service, callee_service, observed_at, 'call_count', CAST(call_count AS DOUBLE) FROM once)
   WHERE x >= 0 AND NOT isnan(x))"""
 
+_PLACED = """
+WITH valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, method, entity ORDER BY computed_at DESC NULLS LAST, score DESC NULLS LAST, rank DESC NULLS LAST) AS rn FROM ranked_entity) WHERE rn = 1),
+placed AS (SELECT case_id, method, entity, rank AS stored_rank, CAST(row_number() OVER (PARTITION BY case_id, method ORDER BY score DESC, entity COLLATE "C" ASC NULLS LAST) AS INTEGER) AS place FROM valid WHERE score IS NOT NULL AND isfinite(score))"""
+
 ORACLES = {
+    "p4_held": _PLACED + " SELECT *, coalesce(stored_rank = place, false) AS agrees FROM placed WHERE place <= 3",
+    "p4_reported": _PLACED + """, best AS (SELECT case_id, string_agg(entity, ',' ORDER BY place) AS computed FROM placed WHERE place <= 3 AND method = 'pairwise' GROUP BY ALL),
+told AS (SELECT DISTINCT case_id, array_to_string(top_candidates, ',') AS reported FROM canonical_locked_test_results)
+SELECT case_id, reported, computed, coalesce(reported = computed, false) AS same FROM told LEFT JOIN best USING (case_id)""",
     "p3_found": _MEASURED + """
 SELECT caller_service, callee_service, measure FROM long GROUP BY ALL
 HAVING count(*) FILTER (observed_at >= TIMESTAMP '2025-03-01') >= 20 AND count(*) FILTER (observed_at < TIMESTAMP '2025-03-01') >= 20
