@@ -96,10 +96,10 @@ def edge_latency(calls: DataFrame, decomposed: DataFrame | None = None) -> DataF
     base = calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum("caller_duration").alias("total_caller"), F.sum("callee_duration").alias("total_callee"))
     parts = [("caller_duration", "caller_", (0.1, 0.5, 0.9)), ("callee_duration", "callee_", (0.5, 0.9)), ("return_lag", "lag_", (0.9,)), ("fraction", "fraction_", (0.5,))]
     if decomposed is not None:
-        calls = calls.join(decomposed.select(F.col("span_id").alias("caller_span_id"), "covered_fraction"), "caller_span_id")
+        covered = calls.join(decomposed.select(F.col("span_id").alias("caller_span_id"), "covered_fraction"), "caller_span_id")
         parts.append(("covered_fraction", "covered_", (0.5,)))
     for value, prefix, ps in parts:
-        d = distribution(calls, keys, value, ps, prefix).select(*keys, *[f"{prefix}p{p * 100:g}" for p in ps])
+        d = distribution(covered if value == "covered_fraction" else calls, keys, value, ps, prefix).select(*keys, *[f"{prefix}p{p * 100:g}" for p in ps])
         base = base.join(d, keys, "left")
     return base
 

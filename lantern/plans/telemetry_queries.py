@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.lineage import cut
 from lantern.operators import detect, episodes, graph, ranking, traces
 from lantern.sources import telemetry
 
@@ -58,7 +59,8 @@ def span_decomposition_us(s: SparkSession, d: str) -> DataFrame:
 
 
 def latency(s: SparkSession, d: str) -> DataFrame:
-    return traces.edge_latency(calls(s, d), span_decomposition_us(s, d))
+    # Every percentile reads the calls: they are joined once and written.
+    return traces.edge_latency(cut(calls(s, d)), cut(span_decomposition_us(s, d).select("span_id", "covered_fraction")))
 
 
 def r_points(df: DataFrame) -> DataFrame:
@@ -66,8 +68,8 @@ def r_points(df: DataFrame) -> DataFrame:
 
 
 def s_comb(s: SparkSession, d: str) -> DataFrame:
-    p = points(s, d)
-    st = episodes.entity_steps(p, K, M)
+    p = cut(points(s, d))
+    st = cut(episodes.entity_steps(p, K, M))
     return ranking.s_comb(p, st, episodes.evidence(st))
 
 
@@ -92,15 +94,16 @@ def eps(s: SparkSession, d: str) -> DataFrame:
 
 
 def eps_truncated(s: SparkSession, d: str) -> DataFrame:
-    st = steps(s, d)
+    st = cut(steps(s, d))
     return as_text(episodes.truncate(episodes.entity_episodes(st), st, CUTOFF), "metrics")
 
 
 def tcec(s: SparkSession, d: str) -> DataFrame:
-    st = steps(s, d)
-    alarms = detect.case_alarms(points(s, d), K, 3)
+    p = cut(points(s, d))
+    st = cut(episodes.entity_steps(p, K, M))
+    alarms = detect.case_alarms(p, K, 3)
     cand = alarms.where("alarm").select("case_id", F.col("ts").alias("candidate_ts"))
-    return graph.confirm(episodes.entity_episodes(st), strong_edges(s, d), cand, st.select("case_id", "ts").distinct())
+    return graph.confirm(cut(episodes.entity_episodes(st)), strong_edges(s, d), cand, st.select("case_id", "ts").distinct())
 
 
 def order_decomposition(s: SparkSession, d: str) -> DataFrame:
