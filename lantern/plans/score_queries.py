@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lantern.functions import scalars
 from lantern.operators import detect, ranking, scores
 from lantern.plans import telemetry_queries as tq
 from lantern.sources import telemetry
+from lantern.sources.tables import table
 
 
 def _mean(s, d, before: bool):  # noqa: ANN001, ANN202
@@ -24,7 +26,23 @@ def _rca(s, d, k):  # noqa: ANN001, ANN202
     return ranking.observational(tq.evidence(s, d), tq.strong_edges(s, d), ranking.CONFIGURATIONS[k])
 
 
+def _faults(s, d):  # noqa: ANN001, ANN202
+    return table(s, d, "rag2_query_split", ["scenario_family"]).groupBy(scalars.key_part(F.col("scenario_family"), 4).alias("fault")).agg(F.count("*").alias("n"))
+
+
+def _hashes(s, d):  # noqa: ANN001, ANN202
+    return table(s, d, "manifest_case", ["case_id"]).distinct().select("case_id", scalars.short_hash(F.col("case_id")).alias("h16"), scalars.short_hash(F.col("case_id"), 8).alias("h8"))
+
+
+def _props(s, d):  # noqa: ANN001, ANN202
+    k = scalars.json_number(scalars.reply_json(F.col("props")), "k")
+    return table(s, d, "events", ["event_type", "props"]).groupBy("event_type").agg(F.sum(k).alias("total"), F.count_if(k.isNull()).alias("missing"))
+
+
 QUERIES = {
+    "fault_categories": _faults,
+    "short_hashes": _hashes,
+    "json_numbers": _props,
     "earliness": lambda s, d: scores.earliness(tq.evidence(s, d)),
     "causal_consistency": lambda s, d: scores.consistency(_onsets(s, d), tq.strong_edges(s, d)),
     "rank_shifts": lambda s, d: scores.shifts(_rca(s, d, "a"), _rca(s, d, "d"), tq.strong_edges(s, d)),
@@ -34,6 +52,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "fault_categories": "SELECT nullif(lower(trim(split_part(scenario_family, '|', 4))), '') AS fault, count(*) AS n FROM rag2_query_split GROUP BY ALL",
+    "short_hashes": "SELECT DISTINCT case_id, left(sha256(case_id), 16) AS h16, left(sha256(case_id), 8) AS h8 FROM manifest_case",
+    "json_numbers": """SELECT event_type, sum(TRY_CAST(nullif(regexp_extract(props, '"k": *([0-9.]+)', 1), '') AS DOUBLE)) AS total, count(*) FILTER (nullif(regexp_extract(props, '"k": *([0-9.]+)', 1), '') IS NULL) AS missing FROM events GROUP BY ALL""",
     "earliness": f"WITH {tq.STEPS} SELECT case_id, entity, round(CASE WHEN first_ts IS NULL OR min(first_ts) OVER w = max(first_ts) OVER w THEN 0 ELSE 1 - (first_ts - min(first_ts) OVER w) / CAST(max(first_ts) OVER w - min(first_ts) OVER w AS DOUBLE) END, 9) AS earliness FROM evidence WINDOW w AS (PARTITION BY case_id)",
     "causal_consistency": f"""WITH {tq.POINTS}, {tq.SPANS},
 on1 AS (SELECT case_id, entity, min(ts) FILTER (is_anomaly) AS t FROM points GROUP BY ALL),

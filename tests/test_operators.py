@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.blocks import running
+from lantern.functions import scalars
 from lantern.operators import causal, detect, episodes, evaluation, evidence, graph, logs, ranking, retrieval, traces
 from lantern.sources import tables
 
@@ -312,3 +313,40 @@ def test_sources(spark, tmp_path, rows):
     assert spark.read.json(str(tmp_path / "r")).count() == 2
     assert tables.feature_cache(df, str(tmp_path / "f"), "k").where("k = 2").first().v == "b"
     assert tables.embedding_key(df, "k").first().cache_key == tables.embedding_key(df.orderBy(F.desc("k")), "k").first().cache_key
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([("<think>{x}</think>\n```json\n{\"k\": 3}\n```", "A| b |c| Disk "), ("no object", None)], "t string, f string")
+    got = df.select(scalars.json_number(scalars.reply_json(F.col("t")), "k").alias("k"), scalars.key_part(F.col("f"), 4).alias("p")).collect()
+    assert [tuple(r) for r in got] == [(3.0, "disk"), (None, None)]
+    one = spark.createDataFrame([(float("nan"), 2.5, 0.0)], "a double, b double, c double")
+    r = one.select(scalars.nan_to_null(F.col("a")).alias("a"), scalars.round_half_even(F.col("b")).alias("b"), scalars.safe_divide(F.col("b"), F.col("c")).alias("c")).first()
+    assert (r.a, r.b, r.c) == (None, 2.0, None)
+    assert len(one.select(scalars.short_hash(F.lit("x"), 8).alias("h")).first().h) == 8
+
+
+def test_scores(spark, rows):
+    from lantern.operators import scores
+
+    ev = spark.createDataFrame([("c", "a", True, 0), ("c", "b", True, 10), ("c", "d", True, 100), ("c", "e", False, None)], "case_id string, entity string, has_episode boolean, first_ts bigint")
+    e = spark.createDataFrame([("c", "a", "b"), ("c", "d", "a")], "case_id string, src string, dst string")
+    got = {r.entity: (r.temporal, r.topology, r.propagation) for r in scores.consistency(ev, e).collect()}
+    assert got == {"a": (1.0, 1.0, 1.0), "b": (0.85, 1.0, 0.8), "d": (0.4, 1.0, 0.5), "e": (0.7, 0.5, 0.8)}
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
+    b = spark.createDataFrame([("x", 2.0), ("z", 1.0)], "k string, v double")
+    assert rows(scores.recovery(a, b, "k", "v"), "k", "verdict") == [("x", "worse"), ("y", "gone"), ("z", "appeared")]
+
+
+def test_rate_limit(spark):
+    df = spark.createDataFrame([("u", t * 1_000_000) for t in (0, 10, 20, 30, 90)], "u string, us bigint")
+    assert [r.recent for r in evidence.rate_limit(df, "u", "us", 60, 3).orderBy("us").collect()] == [1, 2, 3, 4, 2]
+
+
+def test_streams_match_their_batches(spark, tmp_path, rows):
+    """A late row is dropped; all else is as in the batch."""
+    from lantern.streaming import online
+
+    spark.createDataFrame([(i, f"2024-01-01 0{i % 3}:10:00", i % 2, "view", 1.0, "{}") for i in range(6)], "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = online.drain(online.tumbling(online.events(spark, str(tmp_path))), "complete")
+    assert sum(r.n for r in got.collect()) == 6 and got.count() == 3
+    assert online.drain(online.deduplicated(online.events(spark, str(tmp_path)), "user_id").select("user_id")).count() == 2
