@@ -1,7 +1,7 @@
 """The same or nearly the same record on both sides of a train / evaluation split.
 
 Texts become words: lower case, punctuation and spacing gone, numbers cut to their whole part.  Copies that are equal then
-form one class.  Word trigrams over the informative words (those not in a large share of all records) are the
+form one class.  Word trigrams over all words, however frequent, are the
 blocking keys: hashes of the evaluation side are partitioned, the training side is scanned for hits, and every pair with a hit
 is verified by the containment of the smaller record's trigrams in the other.  Trigrams instead of five words, and 0.6 instead of 0.8: an
 order of observations that changes, words that change and an observation that is left out are all still the same record here.
@@ -25,7 +25,6 @@ SHARED = 0.2
 FREQUENT = 0.08
 #: The smaller record has at least this part of the larger one's trigrams.
 LEAST_SIZE = 0.5
-HOT_SHARE, HOT_LEAST = 0.2, 64
 
 WORD = r"\d+(?:[.,]\d+)*|\p{L}[\p{L}\p{N}]*"
 
@@ -53,13 +52,6 @@ def clean_split(c: Column) -> Column:
     return F.when(s.isin("train", "training"), "train").when(s.isin("val", "validation"), "val").when(s.isin("final_test", "test"), "final_test").when(s == "dev", "dev")
 
 
-def hot_words(classes: DataFrame) -> list[str]:
-    """Words of over HOT_SHARE of all distinct texts, at least HOT_LEAST.  At most mean distinct words / HOT_SHARE of them, whatever the size."""
-    total = classes.count()
-    each = classes.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return sorted(r["w"] for r in each.where(F.col("n") > max(HOT_LEAST, HOT_SHARE * total)).collect())
-
-
 def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> DataFrame:
     """(a, b): each pair of a record of side 't' and one of side 'e' whose texts are the same or nearly the same.
 
@@ -71,10 +63,8 @@ def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> Data
     by_key = keyed.groupBy("_key").agg(F.min("_row").alias("_cls"), F.any_value("_words").alias("_words"), F.max(F.col("_side") == "t").alias("_t"), F.max(F.col("_side") == "e").alias("_e"))
     classes = cut(by_key)
     member = keyed.select("_id", "_side", "_key")
-    hot = hot_words(classes)
-    told = F.filter("_words", lambda w: ~w.isin(hot)) if hot else F.col("_words")
     # Written once: three branches read the grams.
-    grammed = cut(classes.select("_cls", "_t", "_e", grams(told).alias("_h")))
+    grammed = cut(classes.select("_cls", "_t", "_e", grams(F.col("_words")).alias("_h")))
     train = grammed.where("_t").select(F.col("_cls").alias("_a"), F.explode("_h").alias("_g"))
     evals = grammed.where("_e").select(F.col("_cls").alias("_b"), F.size("_h").alias("_n"), F.explode("_h").alias("_g"))
     df = train.groupBy("_g").agg(F.count("*").alias("_df")).select(F.col("_g").alias("_x"), "_df")

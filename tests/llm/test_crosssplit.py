@@ -48,6 +48,20 @@ def test_changed_copies_are_found_and_nothing_else(spark):
     assert got == want
 
 
+def test_a_family_of_a_third_of_all_texts(spark):
+    """All words that the family shares are frequent; its pairs are found nonetheless."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(78)]
+    rows = [(i, "train" if i % 2 else "val", None, " ".join(f"x{rng.randrange(10**6)}" for _ in range(78))) for i in range(240)]
+    for i in range(1000, 1120):
+        ws = list(base)
+        for at in rng.sample(range(78), 3):
+            ws[at] = f"n{rng.randrange(10**6)}"
+        rows.append((i, "train" if i % 2 else "val", None, " ".join(ws)))
+    got = {tuple(r) for r in crosssplit.overlaps(spark.createDataFrame([(*r, None, "x") for r in rows], S)).collect()}
+    assert got == {(a, b) for a in range(1001, 1120, 2) for b in range(1000, 1120, 2)}
+
+
 def test_cases(spark):
     data = [(1, "Train ", "rx1hx_hx-bed-store_disk_4", "a"), (2, "VAL", "RX1HX/hx bed store/Disk/04", None), (3, "test", "rx1hx_hx-bed-store_disk_40", "b"), (4, None, "rx1hx_hx-bed-store_disk_4", "c"), (5, "dev", None, ""), (6, "training", None, ""), (7, "train", "", "  ")]
     got = {tuple(r) for r in crosssplit.overlaps(spark.createDataFrame([(*r, None, "x") for r in data], S)).collect()}
