@@ -3,14 +3,13 @@
 Texts become words: lower case, punctuation and spacing gone, numbers cut to their whole part.  Copies that are equal then
 form one class.  Word trigrams over all words, however frequent, are the
 blocking keys: hashes of the evaluation side are partitioned, the training side is scanned for hits, and every pair with a hit
-is verified by the containment of the smaller record's trigrams in the other.  Trigrams instead of five words, and 0.6 instead of 0.8: an
+is verified by the containment of the smaller record's trigrams in the other.  What is probed follows from that containment
+alone, so no pair that it holds for is missed at any size.  Trigrams instead of five words, and 0.6 instead of 0.8: an
 order of observations that changes, words that change and an observation that is left out are all still the same record here.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +17,10 @@ from lantern.lineage import cut
 
 GRAM = 3
 CONTAINED = 0.6
-#: Weighed by rarity, a pair must share this part of the evaluation record's blocking trigrams.
-SHARED = 0.2
-#: The most frequent trigrams of a record, up to this part of its weight, block nothing: a pair still shares the rest of SHARED among the
-#: others, so nothing is lost, and stock phrases in a tenth of all records don't meet each other.
-FREQUENT = 0.08
 #: The smaller record has at least this part of the larger one's trigrams.
 LEAST_SIZE = 0.5
+#: Longs of the bit sketch that a probed trigram carries.
+SKETCH = 8
 
 WORD = r"\d+(?:[.,]\d+)*|\p{L}[\p{L}\p{N}]*"
 
@@ -52,6 +48,38 @@ def clean_split(c: Column) -> Column:
     return F.when(s.isin("train", "training"), "train").when(s.isin("val", "validation"), "val").when(s.isin("final_test", "test"), "final_test").when(s == "dev", "dev")
 
 
+def candidates(grammed: DataFrame) -> DataFrame:
+    """(_a, _b): pairs of a training and an evaluation class that can share CONTAINED of the smaller one's grams; none that does is missing.
+
+    All records order their grams alike, rarest first.  Records of n and m grams that share s have their first common gram no later
+    than place n - s + 1 of the one and m - s + 1 of the other, and s is CONTAINED * min(n, m) at least.  So these prefixes are
+    joined.  A sketch has a bit for each gram; a bit that only one record has stands for a gram that isn't shared.
+    """
+    each = grammed.select("_cls", "_t", "_e", F.size("_h").alias("_n"), F.explode("_h").alias("_g"))
+    freq = each.groupBy("_g").agg(F.count_if("_t").alias("_ft"), F.count_if("_e").alias("_fe")).where("_ft > 0 and _fe > 0")
+    # Grams without a partner are the rarest: they take the first places and needn't travel.
+    rare = freq.select(F.col("_g").alias("_x"), (F.col("_ft") * F.col("_fe")).alias("_f"))
+    bits = [F.bit_or(F.when(F.pmod(F.shiftrightunsigned("_g", 6), F.lit(SKETCH)) == i, F.expr("shiftleft(1L, cast(_g & 63 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"_s{i}") for i in range(SKETCH)]
+    met = each.join(rare, F.col("_g") == F.col("_x")).groupBy("_cls", "_t", "_e", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_g"))).alias("_l"), *bits)
+    least = F.ceil(CONTAINED * F.ceil(LEAST_SIZE * F.col("_n")))
+    kept = met.select("*", F.size("_l").alias("_m"), F.slice("_l", 1, F.greatest(F.lit(0), (F.size("_l") - least + 1).cast("int"))).alias("_p"))
+    at = kept.select("_cls", "_t", "_e", "_n", "_m", *[f"_s{i}" for i in range(SKETCH)], F.col("_p._g").alias("_p"), F.posexplode("_p._g").alias("_i", "_g"))
+    # _left: grams from this one on.  _short: within the prefix against any record that isn't smaller.  _prev: the gram before.
+    left, need = F.col("_m") - F.col("_i"), F.ceil(CONTAINED * F.col("_n")).cast("int")
+    placed = cut(at.select("_cls", "_t", "_e", "_n", "_m", need.alias("_need"), *[f"_s{i}" for i in range(SKETCH)], "_g", left.alias("_left"), (left >= need).alias("_short"), F.when(F.col("_i") > 0, F.get("_p", F.col("_i") - 1)).alias("_prev")))
+    t, e = placed.where("_t").alias("t"), placed.where("_e")
+    # The smaller record is within its short prefix, so the long rests of two prefixes needn't meet.
+    e = e.withColumn("_with", F.explode(F.when(F.col("_short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).alias("e")
+    need = F.least("t._need", "e._need")
+    near = (F.least("t._left", "e._left") >= need) & (F.least("t._n", "e._n") >= LEAST_SIZE * F.greatest("t._n", "e._n"))
+    # With the gram before in common as well, the pair has met there.
+    first = F.col("t._prev").isNull() | F.col("e._prev").isNull() | (F.col("t._prev") != F.col("e._prev"))
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}._s{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}._s{i}")))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}._s0").bitwiseAND(F.bitwise_not(F.col(f"{y}._s0")))))
+    sketched = (F.col("t._m") - alone("t", "e") >= need) & (F.col("e._m") - alone("e", "t") >= need)
+    on = (F.col("t._g") == F.col("e._g")) & (F.col("t._short") == F.col("e._with")) & (F.col("t._cls") != F.col("e._cls")) & near & sketched & first
+    return t.join(e, on).select(F.col("t._cls").alias("_a"), F.col("e._cls").alias("_b"))
+
+
 def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> DataFrame:
     """(a, b): each pair of a record of side 't' and one of side 'e' whose texts are the same or nearly the same.
 
@@ -63,30 +91,18 @@ def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> Data
     by_key = keyed.groupBy("_key").agg(F.min("_row").alias("_cls"), F.any_value("_words").alias("_words"), F.max(F.col("_side") == "t").alias("_t"), F.max(F.col("_side") == "e").alias("_e"))
     classes = cut(by_key)
     member = keyed.select("_id", "_side", "_key")
-    # Written once: three branches read the grams.
+    # Written once: several branches read the grams.
     grammed = cut(classes.select("_cls", "_t", "_e", grams(F.col("_words")).alias("_h")))
-    train = grammed.where("_t").select(F.col("_cls").alias("_a"), F.explode("_h").alias("_g"))
-    evals = grammed.where("_e").select(F.col("_cls").alias("_b"), F.size("_h").alias("_n"), F.explode("_h").alias("_g"))
-    df = train.groupBy("_g").agg(F.count("*").alias("_df")).select(F.col("_g").alias("_x"), "_df")
-    # Prefix filter by weight: rarest first, all but the FREQUENT tail are probed; a true pair shares SHARED - FREQUENT of the weight there.
-    # Grams without a partner have the largest weight and needn't travel.
-    n_train = classes.where("_t").count()
-    one = Window.partitionBy("_b")
-    weight = F.log(F.lit(1.0) + F.lit(float(n_train)) / F.col("_df"))
-    met = evals.join(df, F.col("_g") == F.col("_x")).withColumn("_w", weight)
-    met = met.withColumns({"_m": F.count("*").over(one), "_sum": F.sum("_w").over(one), "_tail": F.sum("_w").over(one.orderBy(F.desc("_df"), "_g").rowsBetween(Window.unboundedPreceding, 0))})
-    met = met.withColumn("_all", F.col("_sum") + (F.col("_n") - F.col("_m")) * F.lit(math.log(1 + max(n_train, 1))))
-    probes = met.where(F.col("_tail") > FREQUENT * F.col("_all")).select("_b", F.col("_g").alias("_y"), "_w", "_all")
-    met_pairs = train.join(probes, F.col("_g") == F.col("_y")).where("_a <> _b").groupBy("_a", "_b").agg(F.sum("_w").alias("_got"), F.max("_all").alias("_all")).where(F.col("_got") >= (SHARED - FREQUENT) * F.col("_all"))
+    met_pairs = candidates(grammed)
     # Texts of the same words in another order may share no trigram at all.
     bags = classes.select("_cls", "_t", "_e", F.md5(F.concat_ws(" ", F.array_sort("_words"))).alias("_bag"))
     same_bag = bags.where("_t").select(F.col("_cls").alias("_a"), "_bag").join(bags.where("_e").select(F.col("_cls").alias("_b"), "_bag"), "_bag").where("_a <> _b").select("_a", "_b")
-    pairs = cut(met_pairs.select("_a", "_b").unionAll(same_bag).distinct())
-    left = classes.select(F.col("_cls").alias("_a"), F.col("_words").alias("_wa"))
-    right = classes.select(F.col("_cls").alias("_b"), F.col("_words").alias("_wb"))
-    both = pairs.join(left, "_a").join(right, "_b").select("_a", "_b", grams(F.col("_wa")).alias("_ga"), grams(F.col("_wb")).alias("_gb"), F.array_sort("_wa").alias("_wa"), F.array_sort("_wb").alias("_wb"))
+    pairs = cut(met_pairs.withColumn("_same", F.lit(False)).unionAll(same_bag.withColumn("_same", F.lit(True))).groupBy("_a", "_b").agg(F.max("_same").alias("_same")))
+    left = grammed.select(F.col("_cls").alias("_a"), F.col("_h").alias("_ga"))
+    right = grammed.select(F.col("_cls").alias("_b"), F.col("_h").alias("_gb"))
+    both = pairs.join(left, "_a").join(right, "_b")
     common, less, more = F.size(F.array_intersect("_ga", "_gb")), F.least(F.size("_ga"), F.size("_gb")), F.greatest(F.size("_ga"), F.size("_gb"))
-    near = both.where(((common >= CONTAINED * less) & (less >= LEAST_SIZE * more)) | (F.col("_wa") == F.col("_wb"))).select("_a", "_b")
+    near = both.where(F.col("_same") | ((less >= LEAST_SIZE * more) & (common >= CONTAINED * less))).select("_a", "_b")
     equal = classes.where("_t and _e").select(F.col("_cls").alias("_a"), F.col("_cls").alias("_b"))
     matched = cut(near.unionAll(equal))
     # Only here copies are expanded, since every pair of records is asked for; AQE splits classes with very many members.

@@ -62,6 +62,30 @@ def test_a_family_of_a_third_of_all_texts(spark):
     assert got == {(a, b) for a in range(1001, 1120, 2) for b in range(1000, 1120, 2)}
 
 
+def test_frequent_shared_and_rare_unshared_grams(spark):
+    """70 of 112 trigrams are shared, by all of training; the other 42 occur once."""
+    base = [f"b{i}" for i in range(72)]
+    rows = [(i, "train" if i < 300 else "dev", None, " ".join(base + [f"u{i}x{k}" for k in range(40)])) for i in range(305)]
+    got = {tuple(r) for r in crosssplit.overlaps(spark.createDataFrame([(*r, None, "x") for r in rows], S)).collect()}
+    assert got == {(a, b) for a in range(300) for b in range(300, 305)}
+
+
+def test_candidates_miss_no_pair(spark):
+    rng = random.Random(6)
+    sets = []
+    for _ in range(120):
+        sets.append({int(60 * rng.random() ** 2) * 0x9E3779B97F4A7C15 % 2**63 for _ in range(rng.randrange(1, 25))})
+        near = set(rng.sample(sorted(sets[-1]), max(1, len(sets[-1]) * 3 // 4)))
+        sets.append(near | {rng.randrange(2**40) for _ in range(rng.randrange(4))})
+    rows = [(i, rng.random() < 0.6, rng.random() < 0.6, sorted(x)) for i, x in enumerate(sets)]
+    got = {tuple(r) for r in crosssplit.candidates(spark.createDataFrame(rows, "_cls bigint, _t boolean, _e boolean, _h array<bigint>")).collect()}
+    for a, t, _, x in rows:
+        for b, _, e, y in rows:
+            less, more = sorted((len(x), len(y)))
+            if t and e and a != b and less >= 0.5 * more and len(set(x) & set(y)) >= 0.6 * less:
+                assert (a, b) in got
+
+
 def test_cases(spark):
     data = [(1, "Train ", "rx1hx_hx-bed-store_disk_4", "a"), (2, "VAL", "RX1HX/hx bed store/Disk/04", None), (3, "test", "rx1hx_hx-bed-store_disk_40", "b"), (4, None, "rx1hx_hx-bed-store_disk_4", "c"), (5, "dev", None, ""), (6, "training", None, ""), (7, "train", "", "  ")]
     got = {tuple(r) for r in crosssplit.overlaps(spark.createDataFrame([(*r, None, "x") for r in data], S)).collect()}
