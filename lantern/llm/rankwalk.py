@@ -22,6 +22,7 @@ from lantern.blocks import running
 from lantern.lineage import cut
 from lantern.llm.topn import split_heavy
 
+#: Of a share times the size of its group, which is about 1 whatever the size.
 DIGITS = 9
 
 
@@ -41,20 +42,20 @@ def _stationary(groups: np.ndarray, sizes: np.ndarray, scores: list[np.ndarray],
         ends = np.append(starts[1:], n)[tie]
         higher = first[order] + np.repeat(sizes, sizes)[order] - ends
         laid.append((order, starts[tie], 1.0 / (higher + 1)))
-    each = 1.0 / np.repeat(sizes, sizes)
-    p = each.copy()
+    p = np.ones(n)  # shares times the size of the group
     for _ in range(steps):
         new = np.zeros(n)
         for order, low, share in laid:
             w = p[order] * share
-            run = np.concatenate(([0.0], np.cumsum(w)))
-            new[order] += run[low] - run[first[order]] + w
-        new = (1 - damping) * each + damping * new / len(laid)
+            # The sum runs on over all groups, so it needs more digits than the shares.
+            run = np.concatenate(([0.0], np.cumsum(w, dtype=np.longdouble)))
+            new[order] += (run[low] - run[first[order]]).astype(np.float64) + w
+        new = (1 - damping) + damping * new / len(laid)
         done = np.abs(new - p).max(initial=0.0) < tolerance
         p = new
         if done:
             break
-    return p
+    return p / np.repeat(sizes, sizes)
 
 
 def _light(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance: float) -> DataFrame:
@@ -75,19 +76,19 @@ def _light(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
                 ids = np.repeat(np.arange(len(size)), size)
                 scores = [part.field(i + 1).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(n_scores)]
                 p = _stationary(ids, size, scores, damping, steps, tolerance)
-                flat = pa.table({"g": ids, "p": -np.round(p, DIGITS), "i": part.field(0)})
+                flat = pa.table({"g": ids, "p": -np.round(p * np.repeat(size, size), DIGITS), "i": part.field(0)})
                 order = pc.sort_indices(flat, sort_keys=[("g", "ascending"), ("p", "ascending"), ("i", "ascending")])
                 laid = flat.take(order)
                 group = batch.column("_group")[at:upto].take(laid["g"].combine_chunks())
                 place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size) + 1
-                yield pa.RecordBatch.from_arrays([group, laid["i"].combine_chunks(), pc.negate(laid["p"].combine_chunks()), pa.array(place, pa.int32())], ["_group", "_item", "_p", "_place"])
+                yield pa.RecordBatch.from_arrays([group, laid["i"].combine_chunks(), pc.divide(pc.negate(laid["p"].combine_chunks()), pa.array(np.repeat(size, size), pa.float64())), pa.array(place, pa.int32())], ["_group", "_item", "_p", "_place"])
                 at = upto
 
     return packed.mapInArrow(walk, out)
 
 
 def _heavy(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance: float, block: int = 4096) -> DataFrame:
-    """Groups of any size, as DataFrames: tied items are summed first, so no task holds a group or a tie."""
+    """Groups of any size, as DataFrames: tied items are summed first, so no task holds a group or a tie.  _p is a share times _size."""
     long = df.select("_group", "_item", F.posexplode(F.array(*[f"_s{i}" for i in range(n_scores)])).alias("_k", "_v"))
     values = long.groupBy("_group", "_k", "_v").agg(F.count("*").alias("_n"))
     # Distinct values get dense numbers by their order; null sorts first, which is the lowest place.
@@ -96,7 +97,7 @@ def _heavy(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
     same = F.col("l._group").eqNullSafe(F.col("d._group")) & (F.col("l._k") == F.col("d._k")) & F.col("l._v").eqNullSafe(F.col("d._v"))
     placed = long.alias("l").join(dense.alias("d"), same).select("l._group", "l._item", "l._k", "_i", "_upto")
     spots = cut(placed.alias("a").join(sizes.alias("b"), F.col("a._group").eqNullSafe(F.col("b._group"))).select("a._group", "_item", "_k", "_i", "_size", (F.col("_size") - F.col("_upto") + 1).alias("_div")))
-    p = cut(df.alias("a").join(sizes.alias("b"), F.col("a._group").eqNullSafe(F.col("b._group"))).select("a._group", "_item", (1.0 / F.col("_size")).alias("_p")))
+    p = cut(df.alias("a").join(sizes.alias("b"), F.col("a._group").eqNullSafe(F.col("b._group"))).select("a._group", "_item", F.lit(1.0).alias("_p"), "_size"))
     for _ in range(steps):
         q = p.select(F.col("_group").alias("_g"), F.col("_item").alias("_x"), "_p")
         mass = spots.join(q, F.col("_group").eqNullSafe(F.col("_g")) & F.col("_item").eqNullSafe(F.col("_x"))).select("_group", "_item", "_k", "_i", "_size", "_p", (F.col("_p") / F.col("_div")).alias("_w"))
@@ -109,8 +110,8 @@ def _heavy(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
         flow = low.select(F.col("_group").alias("_g"), F.col("_k").alias("_kk"), F.col("_i").alias("_ii"), (F.col("_in") + F.col("_base")).alias("_flow"))
         got = mass.join(flow, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_k") == F.col("_kk")) & (F.col("_i") == F.col("_ii")))
         new = got.groupBy("_group", "_item").agg(F.sum(F.col("_flow") + F.col("_w")).alias("_t"), F.first("_size").alias("_size"), F.first("_p").alias("_old"))
-        step = cut(new.select("_group", "_item", ((1 - damping) / F.col("_size") + damping * F.col("_t") / n_scores).alias("_p"), "_old"))
-        p = step.select("_group", "_item", "_p")
+        step = cut(new.select("_group", "_item", ((1 - damping) + damping * F.col("_t") / n_scores).alias("_p"), "_size", "_old"))
+        p = step.select("_group", "_item", "_p", "_size")
         if step.where(F.abs(F.col("_p") - F.col("_old")) >= tolerance).isEmpty():
             break
     return p
@@ -132,8 +133,8 @@ def rank_walk(
     ``prepare`` cleans rows within their group (revisions, names) and runs after groups were split by size, so that the
     rows of light groups move once only.  Repeated (group, item) rows are walked as one, with the largest value of each
     score.  A null or NaN score is no evidence: the item takes the lowest place of that score, tied with others without
-    one.  Infinities are ordinary largest and smallest values.  Equal stationarity (9 decimals) is ordered by item,
-    ascending.  Rows without group or item form the group or item null.  An empty table gives an empty table.
+    one.  Infinities are ordinary largest and smallest values.  Equal stationarity (9 decimals of it times the size of
+    the group; ``tolerance`` is of that as well) is ordered by item, ascending.  Rows without group or item form the group or item null.  An empty table gives an empty table.
     """
     clean = [F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double")).alias(f"_s{i}") for i, s in enumerate(scores)]
 
@@ -147,7 +148,7 @@ def rank_walk(
         p = _heavy(cut(once(heavy)), len(scores), damping, steps, tolerance)
         rounded = p.withColumn("_p", F.round("_p", DIGITS))
         placed = running(rounded, ["_group"], [F.col("_p").desc(), F.col("_item").asc()])
-        walked = walked.unionByName(placed.select("_group", "_item", "_p", F.col("_pos").cast("int").alias("_place")))
+        walked = walked.unionByName(placed.select("_group", "_item", (F.col("_p") / F.col("_size")).alias("_p"), F.col("_pos").cast("int").alias("_place")))
     return walked.select(F.col("_group").alias(group), F.col("_item").alias(item), F.col("_p").alias("stationarity"), F.col("_place").alias("place"))
 
 

@@ -58,6 +58,16 @@ def test_heavy_groups_walk_the_same(spark):
         assert light[k].place == heavy[k].place
 
 
+@pytest.mark.parametrize("heavy_rows", [50_000, 10])
+def test_large_groups_are_ordered_by_their_scores(spark, heavy_rows):
+    n, rng = 4000, np.random.default_rng(8)
+    a, b = (rng.permutation(n).astype(float).tolist() for _ in range(2))
+    p = rankwalk._stationary(np.zeros(n, int), np.array([n]), [np.array(a), np.array(b)], 0.85, 4, 0.0)
+    got = walk(spark, {"big": {f"i{i:04d}": (a[i], b[i]) for i in range(n)}}, steps=4, heavy_rows=heavy_rows)
+    laid = [p[int(k[1][1:])] * n for k, _ in sorted(got.items(), key=lambda x: x[1].place)]
+    assert np.diff(laid).max() < 2e-9
+
+
 def test_range_of_a_score_is_irrelevant(spark):
     a = walk(spark, GROUPS)
     b = walk(spark, {g: {x: (v[0], None if v[1] is None else v[1] * 1000 if v[1] > 0 else v[1]) for x, v in i.items()} for g, i in GROUPS.items()})
