@@ -57,7 +57,7 @@ def dense(s: SparkSession, d: str) -> DataFrame:
 
 
 def citations(s: SparkSession, d: str) -> DataFrame:
-    """Every document taken as an answer; its citable context are the documents of its case, in order of id."""
+    """One text of each case, the largest, taken as an answer; its citable context are the documents of its case, in order of id."""
     from pyspark.sql import Window
 
     t = table(s, d, "documents", ["doc_id", "text", "case_id"])
