@@ -41,7 +41,7 @@ def edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def strong_edges(s: SparkSession, d: str) -> DataFrame:
-    """Edges with a fifth of the case's calls or more, so that the graph isn't complete."""
+    """The 6 edges of most calls of each case, ties by name, so that the graph isn't complete; all others are left out."""
     from pyspark.sql import Window
 
     return edges(s, d).withColumn("_r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n"), "src", "dst"))).where("_r <= 6").drop("_r")
