@@ -124,7 +124,8 @@ def cluster_bootstrap(paired: DataFrame, family: DataFrame, level: float = 0.95,
     k = numbered.count()
     spark = paired.sparkSession
     draws = spark.range(replicates).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0)))).alias("j")).select("r", F.pmod(F.xxhash64(F.lit(seed), "r", "j"), F.lit(max(k, 1))).cast("int").alias("i"))
-    means = draws.join(numbered, "i").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("d"))
+    # The draws look small to the planner before they are exploded; three numbers a family are broadcast instead.
+    means = draws.join(F.broadcast(numbered.select("i", "s", "n")), "i").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("d"))
     q = means.agg(F.percentile("d", [(1 - level) / 2, (1 + level) / 2]).alias("q"))
     return f.agg((F.sum("s") / F.sum("n")).alias("difference")).join(F.broadcast(q)).select("difference", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 

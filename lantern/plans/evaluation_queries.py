@@ -114,8 +114,8 @@ QUERIES = {
     "family_consistency": lambda s, d: evaluation.family_consistency(paired(s, d), family(s, d)),
     "score_spread": lambda s, d: evaluation.spread(rankings(s, d), "score", ["method"]),
     "holm": lambda s, d: evaluation.holm(p_values(s, d)),
-    "randomization_p": lambda s, d: evaluation.randomization_test(paired(s, d), family(s, d), 2000),
-    "bootstrap_ci": lambda s, d: evaluation.cluster_bootstrap(paired(s, d), family(s, d), replicates=500),
+    "randomization_p": lambda s, d: evaluation.randomization_test(paired(s, d), family(s, d)),
+    "bootstrap_ci": lambda s, d: evaluation.cluster_bootstrap(paired(s, d), family(s, d)),
     "pairwise_examples": examples,
     "rank_pairwise": pairwise,
     "family_folds": lambda s, d: evaluation.folds(cases(s, d).select("case_id", "family"), "family"),

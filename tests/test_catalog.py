@@ -30,3 +30,16 @@ def test_the_rest_does_without_the_subpackage():
 
     root = Path(__file__).resolve().parent.parent / "lantern"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "lantern.llm" in p.read_text()]
+
+
+@pytest.mark.parametrize("name, operator", [("randomization_p", "randomization_test"), ("bootstrap_ci", "cluster_bootstrap")])
+def test_all_replicates_are_drawn(spark, monkeypatch, name, operator):
+    import inspect
+
+    from lantern.operators import evaluation
+
+    told, asked = inspect.signature(getattr(evaluation, operator)), []
+    monkeypatch.setattr(evaluation, operator, lambda *x, **y: asked.append(told.bind(*x, **y)))
+    catalog.QUERIES[name](spark, FOLDER)
+    asked[0].apply_defaults()
+    assert asked[0].arguments["replicates"] == 10_000
