@@ -1,8 +1,9 @@
 """Mixing sources to target weights, in tokens of a public tokenizer.
 
-Weights go down a tree (source, then its languages here; any levels work).  Where a node can't fill its amount even
-with all repeats, its siblings take the rest in proportion to their weights, and only what they can't hold goes up to
-the siblings of the parent.  Each leaf then takes whole seeded epochs and a token prefix of one more.
+Two levels, source and its languages.  Where a source can't fill its amount even with all repeats, the others take the
+rest in proportion to their weights.  A language's weight and limit are its tokens and the source's repeats of them, so it is
+full only when its whole source is: with such targets nothing goes to a sibling language, and the whole is one flat
+redistribution over the sources.  Each leaf then takes whole seeded epochs and a token prefix of one more.
 """
 
 from __future__ import annotations
