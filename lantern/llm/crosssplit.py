@@ -22,18 +22,25 @@ LEAST_SIZE = 0.5
 #: Longs of the bit sketch that a probed trigram carries.
 SKETCH = 8
 
-WORD = r"\d+(?:[.,]\d+)*|\p{L}[\p{L}\p{N}]*"
+#: Rows of one gram and side that meet in one task; more are spread over a grid of tasks.
+CELL = 2000
+
+WORD = r"[0-9]+|\p{Nd}+|\p{L}[\p{L}\p{N}]*"
+#: The last group of a number's digits, where it is a fraction, and what groups digits otherwise.
+FRACTION = r"(?<=[0-9])(?:[.,][0-9]{1,2}|\.[0-9]+)(?![.,]?[0-9])"
+GROUPED = r"(?<=[0-9])[.,](?=[0-9])"
 
 
 def words(text: Column) -> Column:
     """The words of a text; a number keeps its whole part only, so a rounded or cut one is the same word."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.when(w.rlike("^[0-9]"), F.regexp_replace(F.regexp_replace(w, r"[.,][0-9]{1,2}$|\.[0-9]+$", ""), r"[.,]", "")).otherwise(w))
+    whole = F.regexp_replace(F.regexp_replace(F.lower(text), FRACTION, ""), GROUPED, "")
+    return F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
 
 
-def grams(ws: Column) -> Column:
-    """Distinct 64-bit hashes of the word trigrams; a shorter text has one gram of all its words, an empty one none."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - GRAM, F.lit(0)))
-    return F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i + 1, GRAM)))))
+def grams(hashes: Column) -> Column:
+    """Distinct 64-bit hashes of the word trigrams, from the words' hashes; a shorter text has one gram of all its words, an empty one none."""
+    each = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    return F.array_distinct(F.slice(each, 1, F.greatest(F.size(hashes) - GRAM + 1, F.lit(1))))
 
 
 def clean_case(c: Column) -> Column:
@@ -58,16 +65,21 @@ def candidates(grammed: DataFrame) -> DataFrame:
     each = grammed.select("_cls", "_t", "_e", F.size("_h").alias("_n"), F.explode("_h").alias("_g"))
     freq = each.groupBy("_g").agg(F.count_if("_t").alias("_ft"), F.count_if("_e").alias("_fe")).where("_ft > 0 and _fe > 0")
     # Grams without a partner are the rarest: they take the first places and needn't travel.
-    rare = freq.select(F.col("_g").alias("_x"), (F.col("_ft") * F.col("_fe")).alias("_f"))
+    rare = freq.select(F.col("_g").alias("_x"), (F.col("_ft") * F.col("_fe")).alias("_f"), *[F.ceil(F.col(c) / CELL).cast("int").alias(n) for c, n in (("_ft", "_ct"), ("_fe", "_ce"))])
     bits = [F.bit_or(F.when(F.pmod(F.shiftrightunsigned("_g", 6), F.lit(SKETCH)) == i, F.expr("shiftleft(1L, cast(_g & 63 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"_s{i}") for i in range(SKETCH)]
-    met = each.join(rare, F.col("_g") == F.col("_x")).groupBy("_cls", "_t", "_e", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_g"))).alias("_l"), *bits)
+    met = each.join(rare, F.col("_g") == F.col("_x")).groupBy("_cls", "_t", "_e", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_g", "_ct", "_ce"))).alias("_l"), *bits)
     least = F.ceil(CONTAINED * F.ceil(LEAST_SIZE * F.col("_n")))
     kept = met.select("*", F.size("_l").alias("_m"), F.slice("_l", 1, F.greatest(F.lit(0), (F.size("_l") - least + 1).cast("int"))).alias("_p"))
-    at = kept.select("_cls", "_t", "_e", "_n", "_m", *[f"_s{i}" for i in range(SKETCH)], F.col("_p._g").alias("_p"), F.posexplode("_p._g").alias("_i", "_g"))
+    at = kept.select("_cls", "_t", "_e", "_n", "_m", *[f"_s{i}" for i in range(SKETCH)], F.col("_p._g").alias("_p"), F.posexplode("_p").alias("_i", "_at"))
+    at = at.select("*", "_at._g", "_at._ct", "_at._ce")
     # _left: grams from this one on.  _short: within the prefix against any record that isn't smaller.  _prev: the gram before.
     left, need = F.col("_m") - F.col("_i"), F.ceil(CONTAINED * F.col("_n")).cast("int")
-    placed = cut(at.select("_cls", "_t", "_e", "_n", "_m", need.alias("_need"), *[f"_s{i}" for i in range(SKETCH)], "_g", left.alias("_left"), (left >= need).alias("_short"), F.when(F.col("_i") > 0, F.get("_p", F.col("_i") - 1)).alias("_prev")))
-    t, e = placed.where("_t").alias("t"), placed.where("_e")
+    placed = cut(at.select("_cls", "_t", "_e", "_n", "_m", need.alias("_need"), *[f"_s{i}" for i in range(SKETCH)], "_g", "_ct", "_ce", left.alias("_left"), (left >= need).alias("_short"), F.when(F.col("_i") > 0, F.get("_p", F.col("_i") - 1)).alias("_prev")))
+    # A gram of many rows is a grid: a row has its line, drawn by its class, and meets each line of the other side in one cell.
+    lot = lambda n: F.pmod(F.xxhash64("_cls"), F.col(n)).cast("int")
+    lines = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    t = placed.where("_t").withColumn("_cell", F.explode(F.transform(lines("_ce"), lambda x: lot("_ct") * F.col("_ce") + x))).alias("t")
+    e = placed.where("_e").withColumn("_cell", F.explode(F.transform(lines("_ct"), lambda x: x * F.col("_ce") + lot("_ce"))))
     # The smaller record is within its short prefix, so the long rests of two prefixes needn't meet.
     e = e.withColumn("_with", F.explode(F.when(F.col("_short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).alias("e")
     need = F.least("t._need", "e._need")
@@ -76,7 +88,7 @@ def candidates(grammed: DataFrame) -> DataFrame:
     first = F.col("t._prev").isNull() | F.col("e._prev").isNull() | (F.col("t._prev") != F.col("e._prev"))
     alone = lambda x, y: sum((F.bit_count(F.col(f"{x}._s{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}._s{i}")))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}._s0").bitwiseAND(F.bitwise_not(F.col(f"{y}._s0")))))
     sketched = (F.col("t._m") - alone("t", "e") >= need) & (F.col("e._m") - alone("e", "t") >= need)
-    on = (F.col("t._g") == F.col("e._g")) & (F.col("t._short") == F.col("e._with")) & (F.col("t._cls") != F.col("e._cls")) & near & sketched & first
+    on = (F.col("t._g") == F.col("e._g")) & (F.col("t._cell") == F.col("e._cell")) & (F.col("t._short") == F.col("e._with")) & (F.col("t._cls") != F.col("e._cls")) & near & sketched & first
     return t.join(e, on).select(F.col("t._cls").alias("_a"), F.col("e._cls").alias("_b"))
 
 
@@ -86,16 +98,16 @@ def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> Data
     Null and empty texts, and null record ids or sides, match nothing.  Repeated rows count once.
     """
     rows = records.select(F.col(record).alias("_id"), F.col(side).alias("_side"), words(F.col(text)).alias("_words")).where("_id is not null and _side in ('t', 'e') and size(_words) > 0")
-    # A class is named by its smallest record and side, as a number: it travels with every gram.
-    keyed = rows.withColumn("_key", F.md5(F.concat_ws(" ", "_words"))).withColumn("_row", F.xxhash64("_id", "_side"))
-    by_key = keyed.groupBy("_key").agg(F.min("_row").alias("_cls"), F.any_value("_words").alias("_words"), F.max(F.col("_side") == "t").alias("_t"), F.max(F.col("_side") == "e").alias("_e"))
-    classes = cut(by_key)
+    keyed = rows.withColumn("_key", F.md5(F.concat_ws(" ", "_words")))
+    by_key = keyed.groupBy("_key").agg(F.any_value("_words").alias("_words"), F.max(F.col("_side") == "t").alias("_t"), F.max(F.col("_side") == "e").alias("_e"))
+    # The number of a class travels with every gram.  It is written with the class, so it is unique and doesn't change on a retry.
+    classes = cut(by_key.withColumn("_cls", F.monotonically_increasing_id()).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))))
     member = keyed.select("_id", "_side", "_key")
     # Written once: several branches read the grams.
-    grammed = cut(classes.select("_cls", "_t", "_e", grams(F.col("_words")).alias("_h")))
+    grammed = cut(classes.select("_cls", "_t", "_e", grams(F.col("_hashes")).alias("_h")))
     met_pairs = candidates(grammed)
     # Texts of the same words in another order may share no trigram at all.
-    bags = classes.select("_cls", "_t", "_e", F.md5(F.concat_ws(" ", F.array_sort("_words"))).alias("_bag"))
+    bags = classes.select("_cls", "_t", "_e", F.md5(F.array_join(F.sort_array("_hashes"), " ")).alias("_bag"))
     same_bag = bags.where("_t").select(F.col("_cls").alias("_a"), "_bag").join(bags.where("_e").select(F.col("_cls").alias("_b"), "_bag"), "_bag").where("_a <> _b").select("_a", "_b")
     pairs = cut(met_pairs.withColumn("_same", F.lit(False)).unionAll(same_bag.withColumn("_same", F.lit(True))).groupBy("_a", "_b").agg(F.max("_same").alias("_same")))
     left = grammed.select(F.col("_cls").alias("_a"), F.col("_h").alias("_ga"))
@@ -113,13 +125,22 @@ def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> Data
 
 
 def overlaps(table: DataFrame) -> DataFrame:
-    """(record_id_a, record_id_b): train record and evaluation record that are the same by case or by query."""
+    """(train_id, evaluation_id): train record and evaluation record that are the same by case or by query.
+
+    By case: an equi-join on the clean case id.  By query: :func:`text_overlaps`.  Null splits belong to neither side.
+    """
     cols = ["record_id", "split", "case_id", "query"]
     once = table.select(*cols).where("record_id is not null").distinct()
     split = clean_split(F.col("split"))
     rows = cut(once.select("record_id", F.when(split == "train", "t").when(split.isNotNull(), "e").alias("side"), clean_case(F.col("case_id")).alias("case"), "query").where("side is not null"))
-    t = rows.where("side = 't' and case is not null").select(F.col("record_id").alias("record_id_a"), "case").distinct()
-    e = rows.where("side = 'e' and case is not null").select(F.col("record_id").alias("record_id_b"), "case").distinct()
-    by_case = t.join(e, "case").select("record_id_a", "record_id_b")
-    by_text = text_overlaps(rows, "record_id", "side", "query").select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
+    t = rows.where("side = 't' and case is not null").select(F.col("record_id").alias("train_id"), "case").distinct()
+    e = rows.where("side = 'e' and case is not null").select(F.col("record_id").alias("evaluation_id"), "case").distinct()
+    by_case = t.join(e, "case").select("train_id", "evaluation_id")
+    by_text = text_overlaps(rows, "record_id", "side", "query").select(F.col("a").alias("train_id"), F.col("b").alias("evaluation_id"))
     return by_case.unionAll(by_text).distinct()
+
+
+def found(table: DataFrame) -> DataFrame:
+    """(record_id_a, record_id_b): the pairs of :func:`overlaps`, each with the smaller id first."""
+    a, b = F.col("train_id"), F.col("evaluation_id")
+    return overlaps(table).select(F.least(a, b).alias("record_id_a"), F.greatest(a, b).alias("record_id_b")).distinct()

@@ -27,15 +27,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return crosssplit.overlaps(_t(spark, folder, "rag2_query_split"))
+    return crosssplit.found(_t(spark, folder, "rag2_query_split"))
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation records that are also in train, per split and source."""
     table = _t(spark, folder, "rag2_query_split")
-    hit = crosssplit.overlaps(table).groupBy("record_id_b").agg(F.count("*").alias("partners"))
+    hit = crosssplit.overlaps(table).groupBy("evaluation_id").agg(F.count("*").alias("partners"))
     rows = table.select("record_id", crosssplit.clean_split(F.col("split")).alias("split"), "source").where("split <> 'train'").distinct()
-    joined = rows.join(hit, F.col("record_id") == F.col("record_id_b"), "left")
+    joined = rows.join(hit, F.col("record_id") == F.col("evaluation_id"), "left")
     return joined.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("partners").alias("also_in_train"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
 
 

@@ -111,3 +111,17 @@ def test_long_and_short_texts(spark):
 def test_words(spark):
     df = spark.createDataFrame([("A 15.43 b, 3015ms 1,435 x2 — 0.5 Ж",)], "t string")
     assert df.select(crosssplit.words(F.col("t"))).first()[0] == ["a", "15", "b", "3015", "ms", "1435", "x2", "0", "ж"]
+
+
+def test_the_smaller_id_comes_first(spark):
+    data = [(1, "train", None, "a b c d e"), (2, "val", None, "a b c d e"), (4, "train", None, "w x y z"), (3, "val", None, "w x y z")]
+    df = spark.createDataFrame([(*r, None, "x") for r in data], S)
+    assert {tuple(r) for r in crosssplit.found(df).collect()} == {(1, 2), (3, 4)}
+    assert {tuple(r) for r in crosssplit.overlaps(df).collect()} == {(1, 2), (4, 3)}
+
+
+def test_a_gram_of_many_rows_is_spread_and_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(crosssplit, "CELL", 7)
+    rows = [(i, "train" if i < 60 else "val", None, "one two three four five six seven u%d" % i) for i in range(100)]
+    got = {tuple(r) for r in crosssplit.overlaps(spark.createDataFrame([(*r, None, "x") for r in rows], S)).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(60, 100)}
