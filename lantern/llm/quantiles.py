@@ -19,18 +19,38 @@ from lantern.lineage import cut
 SHIFTS = (44, 29, 14, 0)
 
 
-def to_ordered(x: Column) -> Column:
-    """The double as a bigint in the same order (its IEEE bits, negated for negatives); -0.0 is 0.  Null and NaN give null."""
-    a = F.abs(x.cast("double"))
-    guess = F.floor(F.log2(a)).cast("double")
-    # The logarithm may round across a power of two; powers of two themselves are exact.
-    e = F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess)
-    e = F.least(e, F.lit(1023.0))
-    fraction = (a / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0**52)
-    normal = (e.cast("bigint") + 1023) * F.lit(1 << 52) + fraction.cast("bigint")
+def _guess(a: Column) -> Column:
+    """The exponent of a size, or one beside it: the logarithm may round across a power of two."""
+    return F.least(F.floor(F.log2(a)).cast("double"), F.lit(1023.0))
+
+
+def _bits(x: Column, a: Column, guess: Column, power: Column) -> Column:
+    over, under = power > a, power * 2 <= a  # powers of two themselves are exact
+    e = F.when(over, guess - 1).when(under, guess + 1).otherwise(guess)
+    scale = F.when(over, power / 2).when(under, power * 2).otherwise(power)
+    normal = (e.cast("bigint") + 1023) * F.lit(1 << 52) + ((a / scale - 1) * F.lit(2.0**52)).cast("bigint")
     tiny = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
     bits = F.when(a == 0, F.lit(0).cast("bigint")).when(a == float("inf"), F.lit(0x7FF << 52)).when(a < F.lit(2.0**-1022), tiny).otherwise(normal)
-    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(None).cast("bigint")).when(x < 0, -bits).otherwise(bits)
+    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("bigint")).otherwise(bits * F.when(x < 0, -1).otherwise(1))
+
+
+def to_ordered(x: Column) -> Column:
+    """The double as a bigint in the same order (its IEEE bits, negated for negatives); -0.0 is 0.  Null and NaN give null."""
+    x = x.cast("double")
+    a = F.abs(x)
+    return _bits(x, a, _guess(a), F.pow(F.lit(2.0), _guess(a)))
+
+
+def with_ordered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with each of ``columns`` replaced by :func:`to_ordered` of it.
+
+    The same map in steps: what is used several times is a column of its own, so that it is computed once per value.
+    """
+    others = [c for c in df.columns if c not in columns]
+    df = df.select(*others, *[F.col(c).cast("double").alias(c) for c in columns], *[F.abs(F.col(c).cast("double")).alias(f"__a{i}") for i, c in enumerate(columns)])
+    df = df.withColumns({f"__g{i}": _guess(F.col(f"__a{i}")) for i in range(len(columns))})
+    df = df.withColumns({f"__p{i}": F.pow(F.lit(2.0), F.col(f"__g{i}")) for i in range(len(columns))})
+    return df.select(*others, *[_bits(F.col(c), F.col(f"__a{i}"), F.col(f"__g{i}"), F.col(f"__p{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 def from_ordered(v: Column) -> Column:
@@ -71,14 +91,20 @@ def _locate(counts: DataFrame, keys: Sequence[str], targets: DataFrame) -> DataF
     return run.join(named, _same(keys) & hit).select(*keys, "_q", F.col("digit").alias("_prefix"), (F.col("_rank") - F.col("_from")).alias("_left"))
 
 
-def bounded(digests: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
-    """(keys, n, value, low, high): the q-quantile from merged digests only; the true value lies in [low, high)."""
+def bounds(digests: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """(keys, q, n, value, low, high): quantiles from merged digests only; the true value, of rank ceil(n * q), lies in [low, high)."""
     n = digests.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    targets = n.withColumn("_q", F.lit(0)).withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(q))).cast("bigint"))
-    at = _locate(digests, keys, targets)
+    wanted = F.array(*[F.struct(F.lit(i).alias("_q"), F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(float(q)))).cast("bigint").alias("_rank")) for i, q in enumerate(qs)])
+    at = _locate(digests, keys, n.select(*keys, F.inline(wanted)))
     low, high = from_ordered(F.shiftleft(F.col("_prefix"), SHIFTS[0])), from_ordered(F.shiftleft(F.col("_prefix") + 1, SHIFTS[0]))
     found = at.join(n.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"), _same(keys))
-    return found.select(*keys, F.col("_n").alias("n"), ((low + high) / 2).alias("value"), low.alias("low"), high.alias("high"))
+    q = F.element_at(F.array(*[F.lit(float(x)) for x in qs]), F.col("_q") + 1)
+    return found.select(*keys, q.alias("q"), F.col("_n").alias("n"), ((low + high) / 2).alias("value"), low.alias("low"), high.alias("high"))
+
+
+def bounded(digests: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
+    """(keys, n, value, low, high): :func:`bounds` of one quantile."""
+    return bounds(digests, keys, [q]).drop("q")
 
 
 def exact(df: DataFrame, keys: Sequence[str], qs: Sequence[float], digests: DataFrame | None = None, ordered: str = "_v") -> DataFrame:

@@ -43,13 +43,14 @@ MEASURES = ["caller_p10", "caller_p90", "call_count"]
 
 
 def _measured(spark: SparkSession, folder: str) -> DataFrame:
-    """(caller, callee, day, measure, _v): each attribution once; null, NaN and negative values and null names don't count."""
+    """(caller, callee, observed_at, measure, _v): each attribution once; null, NaN and negative values and null names don't count."""
     cols = ["caller_service", "callee_service", "observed_at", *MEASURES]
     rows = _t(spark, folder, "edge_attribution").where("attribution_id is not null and callee_service is not null and caller_service is not null")
-    once = cut(topn.latest(rows.select("attribution_id", "arrived_at", *cols), ["attribution_id"], "arrived_at", cols).drop("attribution_id"))
-    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in MEASURES])
-    long = once.select("caller_service", "callee_service", "observed_at", F.inline(each))
-    return long.where("x >= 0 and not isnan(x)").select("caller_service", "callee_service", "observed_at", "measure", quantiles.to_ordered(F.col("x")).alias("_v"))
+    latest = topn.latest(rows.select("attribution_id", "arrived_at", *cols), ["attribution_id"], "arrived_at", cols).drop("attribution_id")
+    # Mapped once and written, since both passes of the selection read the values.
+    once = cut(quantiles.with_ordered(latest, MEASURES))
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("_v")) for m in MEASURES])
+    return once.select("caller_service", "callee_service", "observed_at", F.inline(each)).where("_v >= 0")
 
 
 EDGE = ["caller_service", "callee_service", "measure"]
@@ -69,6 +70,14 @@ def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
     return q.select(*EDGE, "day", "n", "q", F.round("value", 6).alias("value"))
 
 
+def p3_union(spark: SparkSession, folder: str) -> DataFrame:
+    """10th, 50th and 90th percentile of every edge, measure and month, from the digests of its days alone, with the bounds of the true value."""
+    rows = _measured(spark, folder).withColumn("day", F.col("observed_at").cast("date")).where("day is not null")
+    daily = cut(quantiles.digest(rows, [*EDGE, "day"]))
+    months = quantiles.merge(daily.withColumn("month", F.date_format("day", "yyyy-MM")), [*EDGE, "month"])
+    return quantiles.bounds(cut(months), [*EDGE, "month"], [0.1, 0.5, 0.9]).select(*EDGE, "month", "q", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _t(spark, folder, "ranked_entity").select("case_id", "method", "entity", "score", "computed_at")
     valid = lambda x: topn.latest(x, ["case_id", "method", "entity"], "computed_at", ["score"])
@@ -169,6 +178,7 @@ QUERIES = {
     "p2_counts": p2_counts,
     "p3_found": p3_found,
     "p3_daily": p3_daily,
+    "p3_union": p3_union,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p4_found": p4_found,
@@ -204,6 +214,15 @@ HAVING count(*) FILTER (observed_at >= TIMESTAMP '2025-03-01') >= 20 AND count(*
 SELECT caller_service, callee_service, measure, day, n, CAST(0.1 AS DOUBLE) AS q, round(a, 6) AS value FROM each
 UNION ALL SELECT caller_service, callee_service, measure, day, n, CAST(0.5 AS DOUBLE), round(b, 6) FROM each
 UNION ALL SELECT caller_service, callee_service, measure, day, n, CAST(0.9 AS DOUBLE), round(c, 6) FROM each""",
+    # The digit of a positive value x: 256 steps within its power of two.
+    "p3_union": _MEASURED + """
+, m AS (SELECT caller_service, callee_service, measure, strftime(observed_at, '%Y-%m') AS month, x,
+               row_number() OVER (PARTITION BY caller_service, callee_service, measure, strftime(observed_at, '%Y-%m') ORDER BY x) AS r,
+               count(*) OVER (PARTITION BY caller_service, callee_service, measure, strftime(observed_at, '%Y-%m')) AS n FROM long WHERE observed_at IS NOT NULL),
+hit AS (SELECT caller_service, callee_service, measure, month, q, n, x, pow(2, floor(log2(nullif(x, 0))) - 8) AS step
+       FROM m, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS q) WHERE r = greatest(1, ceil(n * q)))
+SELECT caller_service, callee_service, measure, month, q, n, round(coalesce(floor(x / step) * step, 0.0), 9) AS low,
+       round(coalesce((floor(x / step) + 1) * step, 0.0), 9) AS high FROM hit""",
     "p5_found": """
 WITH valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY listed_at DESC) AS rn FROM manifest_case) WHERE rn = 1),
 clean AS (

@@ -52,3 +52,13 @@ def test_digests_add_up_and_are_bounded(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, _v bigint")
     assert q.exact(df, ["k"], [0.5]).count() == 0
+
+
+def test_the_map_in_steps_is_the_map(spark):
+    rng = random.Random(9)
+    values = [*EDGE, None, float("nan"), *[rng.uniform(-1, 1) * 10 ** rng.randrange(-300, 300) for _ in range(500)]]
+    df = spark.createDataFrame([(i, v, v) for i, v in enumerate(values)], "i int, x double, y double")
+    got = {r.i: (r.x, r.y) for r in q.with_ordered(df, ["x", "y"]).collect()}
+    for i, v in enumerate(values):
+        want = None if v is None or v != v else bits(v)
+        assert got[i] == (want, want)
