@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most this many groups can be heavy, whatever the data: a heavy group has over 1/4096 of all rows.
+from lantern.lineage import cut
+
+#: Up to so many heavy keys are broadcast; more are joined as a table, with the same result.
 MOST_HEAVY = 4096
 
 
@@ -31,17 +33,18 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(light rows, heavy rows or None).  The heavy keys number at most :data:`MOST_HEAVY`, so they are broadcast."""
+    """(light rows, heavy rows or None).  Every group above ``heavy_rows`` is heavy, however many there are.
+
+    The heavy keys are a written table; their number is counted, and decides only whether they are broadcast.
+    """
+    names = [unused(df, f"_h{i}") for i in range(len(keys))]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > heavy_rows)
-    found = counts.orderBy(F.desc("_rows")).limit(MOST_HEAVY + 1).collect()
-    if len(found) > MOST_HEAVY:  # then raise the bar to a share of all rows: at most MOST_HEAVY groups can pass it
-        bar = df.count() // MOST_HEAVY
-        found = [r for r in found if r["_rows"] > bar]
+    heavy = cut(counts.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]))
+    found = heavy.count()
     if not found:
         return df, None
-    names = [unused(df, f"_h{i}") for i in range(len(keys))]
-    schema = counts.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).schema
-    heavy = F.broadcast(df.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], schema))
+    if found <= MOST_HEAVY:
+        heavy = F.broadcast(heavy)
     on = _null_safe(keys, names)
     return df.join(heavy, on, "left_anti"), df.join(heavy, on, "left_semi")
 

@@ -44,3 +44,10 @@ def test_number_of_heavy_groups_is_bounded(spark, monkeypatch):
     df = spark.range(40).select((F.col("id") % 4).cast("string").alias("g"), F.col("id").cast("string").alias("item"), F.col("id").cast("double").alias("score"))
     got = topn.top_n(df, ["g"], "score", "item", 1, 3)
     assert sorted(r.item for r in got.collect()) == ["36", "37", "38", "39"]
+
+
+def test_more_heavy_groups_than_are_broadcast_are_all_heavy(spark, monkeypatch):
+    monkeypatch.setattr(topn, "MOST_HEAVY", 2)
+    df = spark.range(400).select((F.col("id") % 9).cast("string").alias("g"), F.col("id").alias("item"))
+    light, heavy = topn.split_heavy(df, ["g"], 10)
+    assert light.count() == 0 and heavy.count() == 400
