@@ -26,40 +26,69 @@ from lantern.llm.topn import split_heavy
 DIGITS = 9
 
 
-def _stationary(groups: np.ndarray, sizes: np.ndarray, scores: list[np.ndarray], damping: float, steps: int, tolerance: float) -> np.ndarray:
-    """The stationary shares of many groups at once; rows are contiguous by group, NaN marks no evidence (lowest place)."""
-    n = len(groups)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _walk(values: list[np.ndarray], sizes: np.ndarray, damping: float, steps: int, tolerance: float) -> np.ndarray:
+    """The shares, times the size of the group, of groups that are rows of matrices, padded at the right.
+
+    Sums run along a row and a group stops by its own change, so the result of a group doesn't depend on its neighbours.
+    """
+    count, width = values[0].shape
+    cols = np.arange(width)[None, :]
+    inside = cols < sizes[:, None]
+    base = np.arange(count)[:, None] * width
     laid = []
-    for s in scores:
-        valid = ~np.isnan(s)
-        order = np.lexsort((np.where(valid, s, 0.0), valid, groups))
-        g, v, ok = groups[order], s[order], valid[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = (g[1:] != g[:-1]) | (ok[1:] != ok[:-1]) | (ok[1:] & (v[1:] != v[:-1]))
-        starts = np.flatnonzero(fresh)
-        tie = np.cumsum(fresh) - 1
-        ends = np.append(starts[1:], n)[tie]
-        higher = first[order] + np.repeat(sizes, sizes)[order] - ends
-        laid.append((order, starts[tie], 1.0 / (higher + 1)))
-    p = np.ones(n)  # shares times the size of the group
+    for v in values:
+        valid = inside & ~np.isnan(v)
+        v = np.where(valid, v, 0.0)
+        order = np.lexsort((v, valid, ~inside), axis=1)
+        v, ok, real = (np.take_along_axis(x, order, 1) for x in (v, valid, inside))
+        fresh = np.ones((count, width + 1), bool)  # where a new value begins; the last place is past the end
+        fresh[:, 1:-1] = (real[:, 1:] != real[:, :-1]) | (ok[:, 1:] != ok[:, :-1]) | (ok[:, 1:] & (v[:, 1:] != v[:, :-1]))
+        low = np.maximum.accumulate(np.where(fresh[:, :-1], cols, 0), axis=1)
+        past = np.where(fresh[:, 1:], cols + 1, width)
+        end = np.flip(np.minimum.accumulate(np.flip(past, 1), axis=1), 1)
+        share = np.where(real, 1.0 / (sizes[:, None] - np.minimum(end, sizes[:, None]) + 1), 0.0)
+        laid.append(((base + order).ravel(), (np.arange(count)[:, None] * (width + 1) + low).ravel(), share))
+    p, open_ = inside.astype(float), np.ones(count, bool)
+    run = np.zeros((count, width + 1))
     for _ in range(steps):
-        new = np.zeros(n)
+        new = np.zeros(count * width)
         for order, low, share in laid:
-            w = p[order] * share
-            # The sum runs on over all groups, so it needs more digits than the shares.
-            run = np.concatenate(([0.0], np.cumsum(w, dtype=np.longdouble)))
-            new[order] += (run[low] - run[first[order]]).astype(np.float64) + w
-        new = (1 - damping) + damping * new / len(laid)
-        done = np.abs(new - p).max(initial=0.0) < tolerance
-        p = new
-        if done:
+            w = p.ravel()[order].reshape(count, width) * share
+            np.cumsum(w, axis=1, out=run[:, 1:])
+            new[order] += run.ravel()[low] + w.ravel()
+        new = np.where(inside, (1 - damping) + damping * new.reshape(count, width) / len(laid), 0.0)
+        change = np.abs(new - p).max(axis=1)
+        p = np.where(open_[:, None], new, p)
+        open_ &= change >= tolerance
+        if not open_.any():
             break
-    return p / np.repeat(sizes, sizes)
+    return p
+
+
+def _stationary(groups: np.ndarray, sizes: np.ndarray, scores: list[np.ndarray], damping: float, steps: int, tolerance: float) -> np.ndarray:
+    """The stationary shares of many groups; rows are contiguous by group, NaN marks no evidence (lowest place).
+
+    Groups of like size are walked together.
+    """
+    n, first = len(groups), np.cumsum(sizes) - sizes
+    p = np.empty(n)
+    by = np.argsort(sizes, kind="stable")
+    ordered, at = sizes[by], 0
+    while at < len(sizes):
+        least = int(ordered[at])
+        upto = int(np.searchsorted(ordered, least + least // 4, "right"))
+        upto = min(upto, at + max(1, 200_000 // int(ordered[upto - 1])))
+        some, width = by[at:upto], int(ordered[upto - 1])
+        inside = np.arange(width)[None, :] < sizes[some][:, None]
+        rows = np.where(inside, first[some][:, None] + np.arange(width)[None, :], 0)
+        walked = _walk([s[rows] for s in scores], sizes[some], damping, steps, tolerance) / sizes[some][:, None]
+        p[rows[inside]] = walked[inside]
+        at = upto
+    return p
 
 
 def _light(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance: float) -> DataFrame:
-    """Groups of bounded size: packed to one row each, many walked at once in numpy."""
+    """Groups of ``heavy_rows`` rows at most: packed to one row each, many walked at once in numpy."""
     row = F.struct("_item", *[f"_s{i}" for i in range(n_scores)])
     packed = df.groupBy("_group").agg(F.collect_list(row).alias("rows"))  # df is already clustered by group
     item_type, group_type = df.schema["_item"].dataType, df.schema["_group"].dataType

@@ -99,3 +99,15 @@ def test_profiles(spark):
     cols = "profile_id bigint, case_id string, entity string, service_id string, a double, b double, scored_at int, ingested_at int, extra string"
     df = spark.createDataFrame([(1, "c", "", "s", 1.0, 1.0, 1, 1, ""), (1, "c", "", "s", 2.0, 1.0, 1, 5, ""), (2, "c", "t", None, 3.0, None, 1, 1, ""), (3, "c", None, "", 9.0, 9.0, 1, 1, "")], cols)
     assert sorted((r.service, r.a) for r in rankwalk.valid_profiles(df, ["a", "b"]).collect()) == [("s", 2.0), ("t", 3.0)]
+
+
+def test_a_group_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(12)
+    sizes = np.array([5, 900, 16, 17, 1, 16, 40])
+    cols = [np.where(rng.random(sizes.sum()) < 0.1, np.nan, rng.integers(0, 9, sizes.sum()).astype(float)) for _ in range(3)]
+    together = rankwalk._stationary(np.repeat(np.arange(len(sizes)), sizes), sizes, cols, 0.85, 300, 1e-12)
+    at = 0
+    for n in sizes:
+        alone = rankwalk._stationary(np.zeros(n, int), np.array([n]), [c[at : at + n] for c in cols], 0.85, 300, 1e-12)
+        assert (alone == together[at : at + n]).all()
+        at += n
