@@ -83,23 +83,36 @@ def units(records: DataFrame, record: str, links: Sequence[str], seed: int = 7)
 
 
 def deal(unit_of: DataFrame, record: str, shares: Mapping[str, float], seed: int = 7) -> DataFrame:
-    """(record, unit, split): whole units go to splits in the given shares.
+    """(record, unit, split): whole units go to splits in the given shares of the records.
 
-    Units are ordered within their size band (powers of two) by a seeded hash and dealt in turn: slot ``i`` of a band
-    goes to the split whose running quota it falls into, so each band, and with it the whole, follows the shares up to
-    one unit per band and split.  An empty table gives an empty table.
+    Size bands (powers of two) are dealt from the largest to the smallest.  Within a band the units lie on a line in a seeded
+    order, as long as their records; it is divided by what each split still lacks after the larger bands, most first, and a unit goes to the
+    split that holds its start.  So every band follows the shares, and what a large unit upsets the later bands make good:
+    a split misses its share by the records of the largest unit at most.  The driver sees sums per band and split only.
+    An empty table gives an empty table.
     """
     total = sum(shares.values())
     if not shares or total <= 0 or min(shares.values()) < 0:
         raise ValueError("shares must be positive")
     sizes = unit_of.groupBy("unit").agg(F.count("*").alias("size")).withColumn("band", F.floor(F.log2("size")).cast("int"))
-    placed = running(sizes.withColumn("_h", F.xxhash64(F.lit(seed), "unit")), ["band"], [F.col("_h"), F.col("unit")])
-    # An additive sequence of golden-ratio steps spreads any prefix of slots evenly over [0, 1).
-    spot = F.pmod(F.col("_pos") * F.lit(0.6180339887498949), F.lit(1.0))
-    split, upto = F.lit(list(shares)[-1]), 1.0
-    for name in reversed(list(shares)[:-1]):
-        upto = sum(v for k, v in list(shares.items())[: list(shares).index(name) + 1]) / total
-        split = F.when(spot < upto, F.lit(name)).otherwise(split)
+    line = running(sizes.withColumn("_h", F.xxhash64(F.lit(seed), "unit")), ["band"], [F.col("_h"), F.col("unit")], "size")
+    placed = cut(line.select("unit", "size", "band", (F.col("_sum") - F.col("size")).alias("_start")), "band")
+    bands = {r["band"]: int(r["n"]) for r in placed.groupBy("band").agg(F.sum("size").alias("n")).collect()}
+    lacks = {s: v / total * sum(bands.values()) for s, v in shares.items()}
+    split = F.lit(list(shares)[0])
+    for band in sorted(bands, reverse=True):
+        names = sorted((s for s in shares if lacks[s] > 0), key=lambda s: (-lacks[s], s))
+        long, upto, one = sum(lacks[s] for s in names), 0.0, F.lit(names[-1])
+        ends = []
+        for s in names:
+            upto += lacks[s] * bands[band] / long
+            ends.append(upto)
+        for s, end in list(zip(names, ends, strict=True))[-2::-1]:
+            one = F.when(F.col("_start") < end, F.lit(s)).otherwise(one)
+        split = F.when(F.col("band") == band, one).otherwise(split)
+        if band != min(bands):
+            for r in placed.where(F.col("band") == band).groupBy(one.alias("s")).agg(F.sum("size").alias("n")).collect():
+                lacks[r["s"]] -= r["n"]
     dealt = placed.select(F.col("unit").alias("_u"), split.alias("split"))
     return unit_of.join(dealt, F.col("unit") == F.col("_u")).select(record, "unit", "split")
 

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from lantern.llm import related
 
 S = "id string, a string, b string, unit string, node string"
@@ -73,3 +75,25 @@ def test_valid_cases(spark):
     df = spark.createDataFrame([("c", "RX1-HX", " HX", "Disk ", "hx_bed store", 1, "Held Out", "", 1), ("c", "RX1-HX", "hx", "disk", "HX-Bed-Store", 1, " held-out", None, 2), ("d", "RX1-HX", "hx", "disk", None, 1, None, "rx1", 1)], cols)
     got = {r.case_id: (r.family, r.partition) for r in related.valid_cases(df).collect()}
     assert got == {"c": ("rx1|hx|hx-bed-store|disk", "held_out"), "d": (None, None)}
+
+
+@pytest.mark.parametrize(
+    ("sizes", "shares"),
+    [
+        ([1024, 576, *[1] * 400], {"train": 0.8, "val": 0.1, "test": 0.1}),
+        ([2**i for i in range(11)], {"dev": 0.5, "val": 0.25, "held_out": 0.25}),
+        ([700, 90, 60, 33, 31, 20, 9, 8, 8, 7, 5, 4, 3, 3, 2, 2, 1, 1, 1], {"a": 0.4, "b": 0.3, "c": 0.3, "none": 0.0}),
+    ],
+)
+def test_no_split_misses_its_share_by_more_than_the_largest_unit(spark, sizes, shares):
+    rows = [(f"{u}-{i}", f"u{u}") for u, n in enumerate(sizes) for i in range(n)]
+    got = related.deal(spark.createDataFrame(rows, "id string, unit string"), "id", shares).collect()
+    assert len(got) == len(rows) and len({(r.unit, r.split) for r in got}) == len(sizes)
+    for s, v in shares.items():
+        assert abs(sum(r.split == s for r in got) - v * len(rows)) <= max(sizes)
+
+
+def test_lone_large_units_leave_the_shares_whole_where_they_can(spark):
+    rows = [(f"{u}-{i}", f"u{u}") for u, n in enumerate([1024, 576, *[1] * 400]) for i in range(n)]
+    got = related.deal(spark.createDataFrame(rows, "id string, unit string"), "id", {"train": 0.8, "val": 0.1, "test": 0.1}).collect()
+    assert {s: sum(r.split == s for r in got) for s in ("train", "val", "test")} == {"train": 1600, "val": 200, "test": 200}
