@@ -10,7 +10,7 @@ import json
 import zlib
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary lies; a parameter of every operator.
@@ -91,36 +91,50 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _merged(table: Column, a: Column, b: Column) -> Column:
-    """The id that a pair merges to, which is also its rank; null for a pair that doesn't merge."""
+#: Bits of an id, and the rank of a pair that doesn't merge.  A merge's rank is the id that it makes.
+ID_BITS, NEVER = 17, (1 << 17) - 1
+
+
+def _ranked(table: Column, a: Column, b: Column) -> Column:
+    """An id and, in the bits above it, the rank of its pair with the next id."""
 
     def look(key: Column) -> Column:
         one, two = F.get(table, (F.shiftright(key * M1, 24) % P1).cast("int")), F.get(table, (F.lit(P1) + F.shiftright(key * M2, 24) % P2).cast("int"))
-        return F.when(F.shiftright(one, 17) == key, one.bitwiseAND(131071).cast("int")).when(F.shiftright(two, 17) == key, two.bitwiseAND(131071).cast("int"))
+        rank = lambda cell: F.shiftleft(cell.bitwiseAND(NEVER), ID_BITS)
+        return F.when(F.shiftright(one, ID_BITS) == key, rank(one)).when(F.shiftright(two, ID_BITS) == key, rank(two)).otherwise(F.lit(NEVER << ID_BITS))
+
+    return look(F.shiftleft(a, 16) + b) + a
 
-    return look(a.cast("bigint") * 65536 + b)
+
+def _id(ranked: Column) -> Column:
+    return ranked.bitwiseAND(NEVER)
 
 
 def _fold(pairs: Column, first: Column) -> Column:
-    """All merges of one word, from its byte ids.  Each step replaces one pair and looks up its two new neighbours only."""
-    n = F.size(first)
-    ranks = F.transform(F.slice(first, 1, n - 1), lambda a, i: _merged(pairs, a, F.get(first, i + 1)))
-    start = F.struct(first.alias("p"), ranks.alias("r"))
+    """All merges of one word, from its byte ids as bigints.
 
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+    One array holds ids and ranks, so its least element is the pair to merge, and equal ones are the same pair.  Each step
+    replaces that pair and looks up its two new neighbours only.
+    """
+    n = F.size(first)
+    none = F.lit(NEVER << ID_BITS)
+    start = F.transform(first, lambda a, i: F.when(i + 1 < n, _ranked(pairs, a, F.get(first, i + 1))).otherwise(a + none))
 
-        def merge(best: Column) -> Column:
-            def at(pos: Column) -> Column:  # 1-based: p[pos], p[pos + 1] become best
-                left = F.when(pos > 1, F.concat(F.slice(r, 1, pos - 2), F.array(_merged(pairs, F.get(p, pos - 2), best)))).otherwise(F.slice(r, 1, 0))
-                right = F.when(pos + 1 < F.size(p), F.concat(F.array(_merged(pairs, best, F.get(p, pos + 1))), F.slice(r, pos + 2, F.size(r)))).otherwise(F.slice(r, 1, 0))
-                return F.struct(F.concat(F.slice(p, 1, pos - 1), F.array(best), F.slice(p, pos + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
+    def step(q: Column, _: Column) -> Column:
+        def merge(least: Column) -> Column:
+            def at(pos: Column) -> Column:  # 1-based: the pair at pos, pos + 1 becomes one id
+                best = F.shiftright(least, ID_BITS)
+                after, before = F.get(q, pos + 1), F.get(q, pos - 2)
+                own = F.when(after.isNull(), best + none).otherwise(_ranked(pairs, best, _id(after)))
+                rest = F.slice(q, pos + 2, F.size(q))
+                return F.when(before.isNull(), F.concat(F.array(own), rest)).otherwise(F.concat(F.slice(q, 1, pos - 2), F.array(_ranked(pairs, _id(before), best), own), rest))
 
-            return F.when(best.isNull(), acc).otherwise(_let(F.array_position(r, best).cast("int"), at))
+            return F.when(least >= none, q).otherwise(_let(F.array_position(q, least).cast("int"), at))
 
-        return _let(F.array_min(r), merge)
+        return _let(F.array_min(q), merge)
 
-    return F.when(n < 2, first).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["p"]))
+    done = F.aggregate(F.sequence(F.lit(2), n), start, step)
+    return F.when(n < 2, first.cast("array<int>")).otherwise(F.transform(done, lambda x: _id(x).cast("int")))
 
 
 def _byte_ids(table: Column, word: Column) -> Column:
@@ -142,49 +156,88 @@ def _byte_ids(table: Column, word: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: char(F.substring(word, i, F.lit(1)))))
 
 
-def encode(text: Column, path: str = VOCABULARY) -> Column:
-    """The token ids of a text, as array<int>; strings of special tokens are ordinary text.
-
-    A null or empty text has an empty list.  Every code point is covered, since any byte is a token; text of any length is
-    encoded as a whole.
-    """
+def _tables(path: str) -> Column:
     v = vocabulary(path)
-    tables = F.struct(
+    return F.struct(
         F.from_json(F.lit(v["pairs"]), "array<bigint>").alias("pairs"),
         F.from_json(F.lit(v["words"]), "array<string>").alias("words"),
         F.from_json(F.lit(v["word_ids"]), "array<int>").alias("ids"),
-        F.from_json(F.lit(json.dumps(v["bytes"])), "array<int>").alias("bytes"),
+        F.from_json(F.lit(json.dumps(v["bytes"])), "array<bigint>").alias("bytes"),
     )
 
-    def whole(t: Column) -> Column:
-        def known(w: Column) -> Column:
-            def look(crc: Column) -> Column:
-                one, two = (crc % P1).cast("int"), (F.lit(P1) + crc % P2).cast("int")
-                return F.when(F.get(t["words"], one) == w, F.get(t["ids"], one)).when(F.get(t["words"], two) == w, F.get(t["ids"], two))
 
-            return _let(F.crc32(w.cast("binary")), look)
+def _cut_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+
+
+def _known(t: Column, ws: Column) -> Column:
+    """The id of each word that is a token, null for any other."""
+
+    def look(w: Column, crc: Column) -> Column:
+        one, two = (crc % P1).cast("int"), (F.lit(P1) + crc % P2).cast("int")
+        return F.when(F.get(t["words"], one) == w, F.get(t["ids"], one)).when(F.get(t["words"], two) == w, F.get(t["ids"], two))
 
+    return F.zip_with(ws, F.transform(ws, lambda w: F.crc32(w.cast("binary"))), look)
+
+
+def _folded(t: Column, w: Column) -> Column:
+    return _let(_byte_ids(t["bytes"], w), lambda b: _fold(t["pairs"], b))
+
+
+def encode(text: Column, path: str = VOCABULARY) -> Column:
+    """The token ids of a text, as array<int>; strings of special tokens are ordinary text.
+
+    A null or empty text has an empty list.  Every code point is covered, since any byte is a token; text of any length is
+    encoded as a whole.
+    """
+
+    def whole(t: Column) -> Column:
         def block(ws: Column) -> Column:
             def with_ids(ids: Column) -> Column:
                 def with_rest(rest: Column) -> Column:
-                    folded = F.transform(rest, lambda w: _let(_byte_ids(t["bytes"], w), lambda b: _fold(t["pairs"], b)))
-
                     def joined(parts: Column) -> Column:
                         return F.flatten(F.transform(ws, lambda w, i: F.when(F.get(ids, i).isNotNull(), F.array(F.get(ids, i))).otherwise(F.get(parts, (F.array_position(rest, w) - 1).cast("int")))))
 
-                    return _let(folded, joined)
+                    return F.when(F.size(rest) == 0, ids).otherwise(_let(F.transform(rest, lambda w: _folded(t, w)), joined))
 
                 return _let(F.array_distinct(F.filter(ws, lambda w, i: F.get(ids, i).isNull())), with_rest)
 
-            return _let(F.transform(ws, known), with_ids)
+            return _let(_known(t, ws), with_ids)
 
         def blocks(ws: Column) -> Column:
             starts = F.sequence(F.lit(1), F.size(ws), F.lit(BLOCK))
             return F.when(F.size(ws) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(starts, lambda i: block(F.slice(ws, i, BLOCK)))))
 
-        return _let(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), blocks)
+        return _let(_cut_words(text), blocks)
+
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<int>")).otherwise(_let(_tables(path), whole))
+
+
+def count(text: Column, path: str = VOCABULARY) -> Column:
+    """The length of :func:`encode`, as bigint, without putting the ids together."""
+
+    def whole(t: Column) -> Column:
+        def block(ws: Column) -> Column:
+            def with_rest(rest: Column) -> Column:
+                distinct = F.array_distinct(rest)
+                folded = lambda d: _let(F.transform(d, lambda w: F.size(_folded(t, w))), lambda n: F.aggregate(rest, F.lit(0), lambda a, w: a + F.get(n, (F.array_position(d, w) - 1).cast("int"))))
+                return F.size(ws) - F.size(rest) + F.when(F.size(rest) == 0, 0).otherwise(_let(distinct, folded))
+
+            return _let(_let(_known(t, ws), lambda ids: F.filter(ws, lambda _, i: F.get(ids, i).isNull())), with_rest)
+
+        def blocks(ws: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(ws), F.lit(BLOCK))
+            return F.when(F.size(ws) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(starts, F.lit(0).cast("bigint"), lambda a, i: a + block(F.slice(ws, i, BLOCK))))
+
+        return _let(_cut_words(text), blocks)
+
+    return F.when(text.isNull() | (text == ""), F.lit(0).cast("bigint")).otherwise(_let(_tables(path), whole))
+
 
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<int>")).otherwise(_let(tables, whole))
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer splits than cores: a text costs far more to encode than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def decode(ids: Column, path: str = VOCABULARY) -> Column:

@@ -47,3 +47,8 @@ def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([], "text string")
     assert df.select(bpe.encode(F.col("text"))).count() == 0
     assert spark.createDataFrame([(None,)], "ids array<int>").select(bpe.decode(F.col("ids"))).first()[0] is None
+
+
+def test_count_is_the_length(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").select(F.size(bpe.encode(F.col("text"))).alias("n"), bpe.count(F.col("text")).alias("m"))
+    assert all(r.n == r.m for r in df.collect())
