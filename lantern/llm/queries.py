@@ -124,7 +124,7 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return _t(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    return bpe.spread(_t(spark, folder, "documents").select("doc_id", "text")).select("doc_id", bpe.encode(F.col("text")).alias("ids"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -50,3 +50,36 @@ def test_report_and_empty(spark):
     assert got["absent"].tokens == 0 and got["absent"].short and got["big_source"].reached_share == 1.0
     none = mixture.report(mixture.token_sizes(spark.createDataFrame([], DOC)), targets).collect()
     assert {(r.source, r.tokens, r.reached_share) for r in none} == {("big_source", 0, 0.0), ("absent", 0, 0.0)}
+
+
+def test_shortages_go_to_siblings_before_ancestors():
+    weights = {("a",): 1.0, ("b",): 1.0, ("a", "x"): 1.0, ("a", "y"): 1.0, ("b", "z"): 1.0}
+    # x is short by 20: y takes it, b gets nothing of it.
+    got = mixture.budgets(100, weights, {("a", "x"): 5, ("a", "y"): 500, ("b", "z"): 500})
+    assert got[("a", "x")] == 5 and got[("a", "y")] == 45 and got[("b",)] == 50
+    # a as a whole is short: only what x and y can't hold goes up and to b.
+    got = mixture.budgets(100, weights, {("a", "x"): 5, ("a", "y"): 30, ("b", "z"): 500})
+    assert got[("a",)] == 35 and got[("a", "y")] == 30 and got[("b", "z")] == 65
+    # Nothing can be held beyond all limits; a tree without leaves holds nothing.
+    assert mixture.budgets(100, weights, {("a", "x"): 5, ("a", "y"): 5, ("b", "z"): 5})[()] == 15
+    assert mixture.budgets(100, {}, {}) == {(): 0.0}
+    deep = {("r",): 1.0, ("r", "a"): 1.0, ("r", "b"): 3.0, ("r", "a", "1"): 1.0, ("r", "a", "2"): 1.0, ("r", "b", "1"): 1.0}
+    got = mixture.budgets(80, deep, {("r", "a", "1"): 2, ("r", "a", "2"): 100, ("r", "b", "1"): 50})
+    assert (got[("r", "a")], got[("r", "a", "2")], got[("r", "b", "1")]) == (30, 28, 50)
+
+
+def test_a_small_language_that_runs_full_is_made_up_by_its_siblings(spark):
+    rows = [(i, "s", "en", "alpha beta gamma " * 40, "", "") for i in range(50)] + [(100, "s", "fr", "delta", "", ""), (200, "t", "en", "zeta eta " * 900, "", "")]
+    targets = spark.createDataFrame([("s", 0.5, 1), ("t", 0.5, 4)], TARGET)
+    sizes = mixture.token_sizes(spark.createDataFrame(rows, DOC))
+    sources, leaves = mixture.plan(sizes, targets, size=2000)
+    by = {(r.source, r.lang): r for r in leaves.collect()}
+    assert by["s", "fr"].budget == by["s", "fr"].leaf_tokens and by["s", "en"].budget == pytest.approx(1000 - by["s", "fr"].budget)
+    assert not any(r.short for r in sources.collect()) and by["t", "en"].budget == pytest.approx(1000)
+
+
+def test_levels_above_the_source(spark):
+    targets = spark.createDataFrame([("big_source", 0.2, 1, "d"), ("small_source", 0.4, 1, "d"), ("other", 0.4, 1, None)], TARGET + ", domain string")
+    sizes = spark.createDataFrame([(1, "big_source", "en", 900), (2, "small_source", "en", 10), (3, "other", "en", 900)], "doc_id bigint, source string, lang string, tokens bigint")
+    got = {r.source: r.given for r in mixture.plan(sizes, targets, 1000, levels=["domain"])[0].collect()}
+    assert got == pytest.approx({"big_source": 590, "small_source": 10, "other": 400})
