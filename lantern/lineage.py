@@ -17,10 +17,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where the session names none (tests, local mode)."""
+    """The cluster's checkpoint folder; one of our own only where the session names none and all runs on this machine.
+
+    A cluster without such a folder is an error: its executors could not read each other's tables.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     own = tempfile.mkdtemp(prefix="lantern-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -45,8 +51,8 @@ def release() -> None:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone; the cluster's own clean-up has the rest
-            return
+        except Exception:  # a session that is gone, or a folder; the cluster's own clean-up has what is left
+            continue
 
 
 atexit.register(release)

@@ -10,13 +10,13 @@ from lantern.lineage import cut
 
 def metric_name(c: Column) -> tuple[Column, Column]:
     """(entity, signal), split at the first underscore; an empty part is an error."""
-    entity, signal = F.substring_index(c, "_", 1), F.expr("null")
+    entity = F.substring_index(c, "_", 1)
     signal = F.regexp_extract(c, r"^[^_]*_(.*)$", 1)
     bad = F.raise_error(F.concat(F.lit("not <entity>_<signal>: "), c))
     return F.when((entity == "") | (signal == ""), bad).otherwise(entity), signal
 
 
-def reach(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def reach(edges: DataFrame) -> DataFrame:
     """(case_id, src, dst): all pairs with a directed path, by semi-naive iteration; cycles end it when nothing is new.
 
     The closure itself is the result, so its size is what is asked for; every round joins only the pairs that are new.
@@ -24,13 +24,12 @@ def reach(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     e = cut(edges.select("case_id", "src", "dst").where("src <> dst").distinct())
     known, fresh = e, e
     step = e.select(F.col("case_id").alias("_c"), F.col("src").alias("_m"), F.col("dst").alias("_d"))
-    for _ in range(max_depth):
+    while True:  # the closure is finite, so a round without new pairs always comes
         nxt = fresh.join(step, (F.col("case_id") == F.col("_c")) & (F.col("dst") == F.col("_m"))).select("case_id", "src", F.col("_d").alias("dst")).where("src <> dst").distinct()
         fresh = cut(nxt.join(known, ["case_id", "src", "dst"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return known
         known = cut(known.unionAll(fresh))
-    return known
 
 
 def within(edges: DataFrame, hops: int) -> DataFrame:

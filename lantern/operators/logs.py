@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.blocks import running
+
 #: Words that mark an error.
-ERROR = r"(?i)\b(error|fail|failed|failure|exception|fatal|critical|timeout|refused|unavailable|50[0-9])\b"
+ERROR = r"(?i)\b(error|exception|fail|failed|failure|fatal|timeout|refused|oom|panic|50[0-9]|unavailable)\b"
 
 
 def template(message: Column) -> Column:
-    """The first 80 characters, long hex as <id>, numbers as <*>, white space collapsed."""
-    t = F.regexp_replace(F.substring(message, 1, 80), "[0-9a-fA-F]{8,}", "<id>")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[0-9]+", "<*>"), r"[ \t\n\r]+", " "))
+    """The first 80 characters, with every run of digits as <*>."""
+    return F.regexp_replace(F.substring(message, 1, 80), "[0-9]+", "<*>")
+
+
+def signature(message: Column) -> Column:
+    """The whole message with long hexadecimal words as <id>, whole numbers as <n>, and white space collapsed."""
+    t = F.regexp_replace(F.regexp_replace(message, r"(?i)\b[0-9a-f]{8,}\b", "<id>"), r"\b[0-9]+\b", "<n>")
+    return F.trim(F.regexp_replace(t, r"[ \t\n\r]+", " "))
 
 
 def score(logs: DataFrame, onset: int) -> DataFrame:
@@ -37,8 +44,11 @@ def top_templates(logs: DataFrame, n: int = 3) -> DataFrame:
 
 
 def sampled(logs: DataFrame, most: int) -> DataFrame:
-    """Systematic sampling, where a reader asks for at most so many lines: every (n // most)-th line of a container by time."""
-    w = Window.partitionBy("container").orderBy("timestamp", "message")
-    n = F.count("*").over(Window.partitionBy("container"))
-    step = F.greatest(F.floor(n / most), F.lit(1))
-    return logs.withColumn("_k", F.row_number().over(w) - 1).withColumn("_s", step).where(F.col("_k") % F.col("_s") == 0).drop("_k", "_s")
+    """Systematic sampling, where a reader asks for at most so many lines: every (n // most)-th line of a container by time.
+
+    Lines are numbered by ranges of (container, time), so a container of any size is spread over tasks.
+    """
+    named = logs.withColumn("_group", F.coalesce("container", F.lit("")))
+    n = named.groupBy(F.col("_group").alias("_g")).agg(F.greatest(F.floor(F.count("*") / most), F.lit(1)).alias("_s"))
+    placed = running(named, ["_group"], [F.col("timestamp").asc_nulls_first(), F.col("message").asc_nulls_first()]).drop("_sum")
+    return placed.join(n, F.col("_group") == F.col("_g")).where((F.col("_pos") - 1) % F.col("_s") == 0).drop("_pos", "_s", "_g", "_group")

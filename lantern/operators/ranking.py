@@ -61,8 +61,8 @@ def observational(evidence: DataFrame, edges: DataFrame, use: Mapping[str, bool]
 CONFIGURATIONS = {
     "a": {"r_strength": True},
     "b": {"r_strength": True, "r_early": True},
-    "c": {"r_strength": True, "r_early": True, "r_coverage": True},
-    "d": {"r_strength": True, "r_early": True, "r_coverage": True, "r_prop": True},
+    "c": {"r_strength": True, "r_coverage": True},
+    "d": {"r_strength": True, "r_early": True, "r_prop": True},
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.operators.graph import within
+
 
 def earliness(evidence: DataFrame) -> DataFrame:
     """(case_id, entity, earliness): 1 for the earliest onset of the case, 0 for the latest, and 0 where all are equal or there is none."""
@@ -14,25 +16,29 @@ def earliness(evidence: DataFrame) -> DataFrame:
     return evidence.select("case_id", "entity", F.round(e, 9).alias("earliness"))
 
 
-def consistency(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+def consistency(evidence: DataFrame, edges: DataFrame, latency: DataFrame) -> DataFrame:
     """(case_id, entity, temporal, topology, propagation, score, passed) of every entity as the suspected root.
 
-    Temporal: 1 if it is first, .85 within 15 s of the first, .4 later, .7 without onset.  Topology: 1 if it has anomalous neighbours, .5 if only others
-    are anomalous, .9 if nothing else is.  Propagation: share class of its anomalous callees that start no earlier: 1 all, .85 some, .5 none, .8 without any.
-    Weights .35, .35, .30; passed from .65.
+    Temporal: against the first onset of any other entity, 1 if not later, .85 within 15 s, .4 later; .9 if no other has one, .7 without onset.
+    Topology: 1 if an entity with an onset is at most two edges away, in any direction, .5 if all of them are further, .9 if there is no other.
+    Propagation: an onset of its own and a latency score (``latency``: case_id, entity, score) above .4 anywhere in the case
+    give 1, the onset alone .85, the latency alone .8, neither .5.  Weights .35, .35, .30; passed from .65.
     """
-    w = Window.partitionBy("case_id")
     hot = F.col("has_episode")
-    base = evidence.select("case_id", "entity", "has_episode", F.when(hot, F.col("first_ts")).alias("first_ts"), F.min(F.when(hot, F.col("first_ts"))).over(w).alias("t0"), (F.count_if(hot).over(w) - hot.cast("int")).alias("others"))
-    other = evidence.select(F.col("case_id").alias("_c"), F.col("entity").alias("_e"), hot.alias("_hot"), F.col("first_ts").alias("_t"))
-    both = edges.select("case_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("callee")).unionAll(edges.select("case_id", F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0).alias("callee"))).where("a <> b").groupBy("case_id", "a", "b").agg(F.max("callee").alias("callee"))
-    near = both.join(other, (F.col("case_id") == F.col("_c")) & (F.col("b") == F.col("_e"))).where("_hot").select(F.col("_c").alias("_c2"), F.col("a").alias("_a"), "callee", "_t")
-    j = base.join(near, (F.col("case_id") == F.col("_c2")) & (F.col("entity") == F.col("_a")), "left")
-    g = j.groupBy("case_id", "entity").agg(F.first("first_ts").alias("t"), F.first("t0").alias("t0"), F.first("others").alias("others"), F.count("_a").alias("near"), F.count_if(F.col("callee") == 1).alias("called"), F.count_if((F.col("callee") == 1) & (F.col("_t") >= F.col("first_ts"))).alias("later"))
-    temporal = F.when(F.col("t").isNull(), 0.7).when(F.col("t") == F.col("t0"), 1.0).when(F.col("t") - F.col("t0") <= 15, 0.85).otherwise(0.4)
-    topology = F.when(F.col("others") == 0, 0.9).when(F.col("near") > 0, 1.0).otherwise(0.5)
-    prop = F.when(F.col("called") == 0, 0.8).when(F.col("later") == F.col("called"), 1.0).when(F.col("later") > 0, 0.85).otherwise(0.5)
-    out = g.select("case_id", "entity", temporal.alias("temporal"), topology.alias("topology"), prop.alias("propagation"))
+    own = evidence.select("case_id", "entity", F.when(hot, F.col("first_ts")).alias("t"))
+    # The first onset of the others: the case's two first ones tell it for every entity, so entities aren't paired.
+    firsts = own.where("t is not null").withColumn("_r", F.row_number().over(Window.partitionBy("case_id").orderBy("t", "entity"))).where("_r <= 2")
+    case = firsts.groupBy("case_id").agg(F.min("t").alias("_t1"), F.max(F.when(F.col("_r") == 1, F.col("entity"))).alias("_e1"), F.max(F.when(F.col("_r") == 2, F.col("t"))).alias("_t2"))
+    slow = latency.groupBy("case_id").agg(F.max(F.col("score") > 0.4).alias("_slow"))
+    there = own.where("t is not null").select(F.col("case_id").alias("_c"), F.col("entity").alias("_d"))
+    near = within(edges, 2).join(there, (F.col("case_id") == F.col("_c")) & (F.col("dst") == F.col("_d"))).select("case_id", F.col("src").alias("entity")).distinct().withColumn("_near", F.lit(True))
+    j = own.join(case, "case_id", "left").join(slow, "case_id", "left").join(near, ["case_id", "entity"], "left")
+    first = F.when(F.col("entity") == F.col("_e1"), F.col("_t2")).otherwise(F.col("_t1"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    temporal = F.when(F.col("t").isNull(), 0.7).when(first.isNull(), 0.9).when(F.col("t") <= first, 1.0).when(F.col("t") - first <= 15, 0.85).otherwise(0.4)
+    topology = F.when(first.isNull(), 0.9).when(yes("_near"), 1.0).otherwise(0.5)
+    prop = F.when(F.col("t").isNotNull() & yes("_slow"), 1.0).when(F.col("t").isNotNull(), 0.85).when(yes("_slow"), 0.8).otherwise(0.5)
+    out = j.select("case_id", "entity", temporal.alias("temporal"), topology.alias("topology"), prop.alias("propagation"))
     score = F.round(0.35 * F.col("temporal") + 0.35 * F.col("topology") + 0.30 * F.col("propagation"), 9)
     return out.withColumn("score", score).withColumn("passed", F.col("score") >= 0.65)
 

@@ -35,10 +35,10 @@ def rate(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "entity_signals": lambda s, d: causal.entity_signals(tq.metrics(s, d), tq.CUTOFF).withColumn("signal", F.round("signal", 6)),
-    "ridge_residuals": lambda s, d: causal.ridge_residuals(tq.metrics(s, d), tq.strong_edges(s, d), tq.CUTOFF),
-    "crv_relief": lambda s, d: causal.counterfactual_relief(tq.metrics(s, d), tq.strong_edges(s, d), tq.CUTOFF, "error"),
+    "ridge_residuals": lambda s, d: causal.ridge_residuals(tq.metrics(s, d), tq.edges(s, d), tq.CUTOFF),
+    "crv_relief": lambda s, d: causal.counterfactual_relief(tq.metrics(s, d), tq.edges(s, d), tq.CUTOFF, "error"),
     "bocpd": lambda s, d: causal.bocpd_onsets(tq.metrics(s, d)),
-    "sequential_tcec": lambda s, d: causal.sequential_confirmation(tq.steps(s, d), tq.strong_edges(s, d), 7200),
+    "sequential_tcec": lambda s, d: causal.sequential_confirmation(tq.steps(s, d), tq.edges(s, d), 7200),
     "evidence_fusion": fused,
     "disambiguate": disambiguated,
     "rate_limit": rate,
@@ -60,7 +60,7 @@ _WINDOWED = "SELECT CAST(epoch({start}) AS BIGINT) AS start_ts, event_type, coun
 ORACLES = {
     "entity_signals": f"WITH {_SIGNALS} SELECT case_id, ts, entity, round(signal, 6) AS signal FROM sig",
     "ridge_residuals": f"""WITH {_SIGNALS}, {tq.SPANS},
-par AS (SELECT s.case_id, e.dst AS entity, s.ts, avg(signal) AS x FROM sig s JOIN strong e ON e.case_id = s.case_id AND e.src = s.entity GROUP BY ALL),
+par AS (SELECT s.case_id, e.dst AS entity, s.ts, avg(signal) AS x FROM sig s JOIN edges e ON e.case_id = s.case_id AND e.src = s.entity GROUP BY ALL),
 xy AS (SELECT std.*, coalesce(x, 0) AS x FROM std LEFT JOIN par USING (case_id, entity, ts)),
 sums AS (SELECT case_id, metric, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM xy WHERE ts < {tq.CUTOFF} GROUP BY ALL),
 res AS (SELECT xy.*, y - (sy / n + (sxy - sx * sy / n) / (sxx - sx * sx / n + 1) * (x - sx / n)) AS r FROM xy JOIN sums USING (case_id, metric)),

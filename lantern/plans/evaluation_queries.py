@@ -98,9 +98,10 @@ def manifest_audit(s: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_hash(s: SparkSession, d: str) -> DataFrame:
-    """A hash of every partition's cases that doesn't depend on row order: per-row hashes, combined."""
-    c = cases(s, d)
-    return c.groupBy("system").agg(F.count("*").alias("cases"), F.min(F.sha2(F.concat_ws("|", "case_id", "family"), 256)).alias("least_hash"), F.max(F.sha2(F.concat_ws("|", "case_id", "family"), 256)).alias("largest_hash"))
+    """A hash of every system's cases that doesn't depend on row order: the sum and the exclusive or of all their hashes."""
+    h = F.md5(F.concat_ws("|", "case_id", "family"))
+    half = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("bigint")
+    return cases(s, d).groupBy("system").agg(F.count("*").alias("cases"), F.sum(half(1).cast("decimal(38,0)")).cast("string").alias("sum_hash"), F.bit_xor(half(16)).alias("xor_hash"))
 
 
 QUERIES = {
@@ -168,5 +169,5 @@ j AS (SELECT o.case_id, o.entity, {', '.join(f'r.{f} - o.{f} AS {f}' for f in FE
 SELECT case_id, entity, 1 AS label, {', '.join(FEATURES)} FROM j UNION ALL SELECT case_id, entity, 0, {', '.join(f'-{f}' for f in FEATURES)} FROM j""",
     "family_folds": f"WITH {EVAL}, n AS (SELECT family, CAST((row_number() OVER (ORDER BY family) - 1) % 3 AS INTEGER) AS fold FROM (SELECT DISTINCT family FROM cases)) SELECT case_id, family, fold FROM cases JOIN n USING (family)",
     "manifest_audit": "SELECT count(*) AS rows, count(DISTINCT case_id) AS cases, count(*) - count(DISTINCT case_id) AS listed_again, count(*) FILTER (root_cause_service IS NULL) AS no_service, count(*) FILTER (partition IS NULL) AS no_partition, count(*) FILTER (coalesce(trim(suite), '') = '') AS no_suite FROM manifest_case",
-    "manifest_hash": f"WITH {EVAL} SELECT system, count(*) AS cases, min(sha256(case_id || '|' || family)) AS least_hash, max(sha256(case_id || '|' || family)) AS largest_hash FROM cases GROUP BY ALL",
+    "manifest_hash": f"WITH {EVAL}, h AS (SELECT system, md5(concat_ws('|', case_id, family)) AS h FROM cases) SELECT system, count(*) AS cases, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_hash, bit_xor(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS xor_hash FROM h GROUP BY ALL",
 }

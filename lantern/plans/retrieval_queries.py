@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.blocks import running
 from lantern.operators import logs
 from lantern.operators import retrieval as r
 from lantern.sources import telemetry
@@ -57,13 +58,12 @@ def dense(s: SparkSession, d: str) -> DataFrame:
 
 
 def citations(s: SparkSession, d: str) -> DataFrame:
-    """One text of each case, the largest, taken as an answer; its citable context are the documents of its case, in order of id."""
-    from pyspark.sql import Window
-
+    """Every text taken as an answer; its citable context are the documents of its case, in order of id, and none without a case."""
     t = table(s, d, "documents", ["doc_id", "text", "case_id"])
-    got = t.where("case_id is not null").select(F.col("case_id").alias("answer"), F.col("doc_id").cast("string").alias("doc"), F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id")).alias("rank"))
-    ans = t.where("case_id is not null and text is not null").groupBy("case_id").agg(F.max("text").alias("text")).select(F.col("case_id").alias("answer"), "text")
-    return r.citations(ans, got)
+    ans = t.where("text is not null").select(F.col("doc_id").alias("answer"), "text", F.col("case_id").alias("group"))
+    # A case of any size is numbered over many tasks.
+    placed = running(t.where("case_id is not null").select("doc_id", "case_id"), ["case_id"], [F.col("doc_id")])
+    return r.citations(ans, placed.select(F.col("case_id").alias("group"), F.col("doc_id").cast("string").alias("doc"), F.col("_pos").alias("rank")), "group")
 
 
 def raw(s: SparkSession, d: str) -> DataFrame:
@@ -162,24 +162,24 @@ hits AS (SELECT b.query, min(rank) AS first, sum(grade / log2(rank + 1)) FILTER
 SELECT i.query, {', '.join(f'CAST(coalesce(first <= {k}, false) AS INTEGER) AS hit_{k}' for k in (1, 3, 5, 20))}, round(coalesce(1 / CAST(first AS DOUBLE), 0), 9) AS mrr, round(coalesce(dcg / idcg, 0), 9) AS ndcg_5, round(coalesce(got / CAST(n AS DOUBLE), 0), 9) AS recall_20 FROM ideal i LEFT JOIN hits USING (query)""",
     "dedup_hash": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT NULL, doc_id, 1 FROM documents WHERE text IS NULL",
     "chunk_flags": f"SELECT doc_id AS doc, coalesce(regexp_matches(text, '{_PRE}'), false) AS has_prerequisites, coalesce(regexp_matches(text, '{_VER}'), false) AS has_verification, coalesce(regexp_matches(text, '{_ROLL}'), false) AS has_rollback, CAST(coalesce(len(regexp_extract_all(text, '(?s)```(?:bash|sh|shell|console|promql)?\\n(.*?)```')), 0) AS INTEGER) AS command_blocks FROM documents",
-    "citation_check": r"""WITH t AS (SELECT doc_id, text, case_id FROM documents WHERE case_id IS NOT NULL),
-got AS (SELECT case_id AS answer, CAST(doc_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY case_id ORDER BY doc_id) AS rank FROM t),
-allowed AS (SELECT answer, doc AS tag FROM got UNION SELECT answer, CAST(rank AS VARCHAR) FROM got),
-ans AS (SELECT case_id AS answer, max(text) AS text FROM t WHERE text IS NOT NULL GROUP BY ALL),
-tags AS (SELECT answer, unnest(regexp_extract_all(text, '(?i)\[(?:(?:Ref|Doc|Citation):\s*)?([a-zA-Z0-9_\-#]+)\]', 1)) AS tag FROM ans),
-seen AS (SELECT g.answer, count(*) AS claimed, count(a.tag) AS valid FROM tags g LEFT JOIN allowed a USING (answer, tag) GROUP BY ALL)
+    "citation_check": r"""WITH t AS (SELECT doc_id, text, case_id FROM documents),
+got AS (SELECT case_id, CAST(doc_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY case_id ORDER BY doc_id) AS rank FROM t WHERE case_id IS NOT NULL),
+allowed AS (SELECT case_id, doc AS tag FROM got UNION SELECT case_id, CAST(rank AS VARCHAR) FROM got),
+ans AS (SELECT doc_id AS answer, case_id, text FROM t WHERE text IS NOT NULL),
+tags AS (SELECT answer, case_id, unnest(regexp_extract_all(text, '(?i)\[(?:(?:Ref|Doc|Citation):\s*)?([a-zA-Z0-9_\-#]+)\]', 1)) AS tag FROM ans),
+seen AS (SELECT g.answer, count(*) AS claimed, count(a.tag) AS valid FROM tags g LEFT JOIN allowed a USING (case_id, tag) GROUP BY ALL)
 SELECT answer, coalesce(claimed, 0) AS claimed, coalesce(valid, 0) AS valid, round(CASE WHEN claimed > 0 THEN valid / CAST(claimed AS DOUBLE) ELSE 1 END, 9) AS rate FROM ans LEFT JOIN seen USING (answer)""",
     "context_budget": f"WITH {BM25}, c AS (SELECT query, rank, least(length(text), 600) AS c FROM bm25 JOIN docs USING (doc)), r AS (SELECT *, sum(c) OVER (PARTITION BY query ORDER BY rank) AS run FROM c) SELECT query, count(*) AS included, CAST(sum(c) AS BIGINT) AS characters FROM r WHERE run <= 3500 OR rank = 1 GROUP BY ALL",
-    "incident_category": "SELECT CASE WHEN lower(title) LIKE '%cpu%' THEN 'cpu' WHEN regexp_matches(lower(title), 'mem|memory|oom') THEN 'memory' WHEN regexp_matches(lower(title), 'disk|storage') THEN 'disk' WHEN regexp_matches(lower(title), 'delay|latency|timeout') THEN 'networking' ELSE 'service-health' END AS category, count(*) AS n FROM documents GROUP BY ALL",
+    "incident_category": "SELECT CASE WHEN lower(title) LIKE '%cpu%' THEN 'cpu' WHEN regexp_matches(lower(title), 'mem|memory|oom') THEN 'memory' WHEN regexp_matches(lower(title), 'disk|storage') THEN 'disk' WHEN regexp_matches(lower(title), 'delay|latency|timeout|loss|socket') THEN 'networking' WHEN regexp_matches(lower(title), 'grpc|status') THEN 'grpc' ELSE 'service-health' END AS category, count(*) AS n FROM documents GROUP BY ALL",
     "corpus_audit": "SELECT coalesce(lower(trim(source)), 'unknown') AS category, count(*) AS documents, count(doc_id) - count(DISTINCT doc_id) AS repeated_ids, count(text) - count(DISTINCT text) AS repeated_texts, count(*) FILTER (regexp_matches(coalesce(text, ''), '^[ \t\r\n]*$')) AS empty_texts FROM documents GROUP BY ALL",
     "log_error_counts": "SELECT lower(trim(source)) AS container, count(*) AS errors FROM documents WHERE regexp_matches(lower(text), 'error|fail|exception') GROUP BY ALL",
     "log_scores": r"""WITH l AS (SELECT coalesce(lower(trim(source)), '') AS container, doc_id AS t, coalesce(text, '') AS m FROM documents), o AS (SELECT floor((min(t) + max(t)) / 2.0) AS onset FROM l),
-x AS (SELECT container, t >= onset AS inc, trim(regexp_replace(regexp_replace(regexp_replace(left(m, 80), '[0-9a-fA-F]{8,}', '<id>', 'g'), '[0-9]+', '<*>', 'g'), '[ \t\n\r]+', ' ', 'g')) AS tpl,
-  regexp_matches(m, '(?i)\b(error|fail|failed|failure|exception|fatal|critical|timeout|refused|unavailable|50[0-9])\b') AS err FROM l, o),
+x AS (SELECT container, t >= onset AS inc, regexp_replace(left(m, 80), '[0-9]+', '<*>', 'g') AS tpl,
+  regexp_matches(m, '(?i)\b(error|exception|fail|failed|failure|fatal|timeout|refused|oom|panic|50[0-9]|unavailable)\b') AS err FROM l, o),
 base AS (SELECT DISTINCT container, tpl FROM x WHERE NOT inc),
 g AS (SELECT x.container, count(*) FILTER (NOT inc) AS baseline, count(*) FILTER (inc) AS incident, count(*) FILTER (inc AND err) AS errors, count(*) FILTER (inc AND b.tpl IS NULL) AS novel FROM x LEFT JOIN base b ON b.container = x.container AND b.tpl = x.tpl GROUP BY ALL)
 SELECT *, round(CASE WHEN incident = 0 THEN 0 ELSE 0.4 * errors / CAST(incident AS DOUBLE) + 0.35 * least(10, novel) / 10.0 + 0.25 * least(5, (incident + 1) / CAST(baseline + 1 AS DOUBLE)) / 5.0 END, 9) AS score FROM g""",
     "log_sample": "WITH l AS (SELECT lower(trim(source)) AS container, doc_id, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lower(trim(source))) AS n FROM documents) SELECT container, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM l WHERE k % greatest(n // 20, 1) = 0 GROUP BY ALL",
-    "log_templates": r"""WITH x AS (SELECT coalesce(lower(trim(source)), '') AS container, trim(regexp_replace(regexp_replace(regexp_replace(left(coalesce(text, ''), 80), '[0-9a-fA-F]{8,}', '<id>', 'g'), '[0-9]+', '<*>', 'g'), '[ \t\n\r]+', ' ', 'g')) AS template FROM documents),
+    "log_templates": r"""WITH x AS (SELECT coalesce(lower(trim(source)), '') AS container, regexp_replace(left(coalesce(text, ''), 80), '[0-9]+', '<*>', 'g') AS template FROM documents),
 c AS (SELECT container, template, count(*) AS n FROM x GROUP BY ALL) SELECT container, template, n, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY container ORDER BY n DESC, template) AS INTEGER) AS place FROM c) WHERE place <= 3""",
 }

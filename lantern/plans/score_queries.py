@@ -23,7 +23,7 @@ def _onsets(s, d):  # noqa: ANN001, ANN202
 
 
 def _rca(s, d, k):  # noqa: ANN001, ANN202
-    return ranking.observational(tq.evidence(s, d), tq.strong_edges(s, d), ranking.CONFIGURATIONS[k])
+    return ranking.observational(tq.evidence(s, d), tq.edges(s, d), ranking.CONFIGURATIONS[k])
 
 
 def _faults(s, d):  # noqa: ANN001, ANN202
@@ -44,8 +44,8 @@ QUERIES = {
     "short_hashes": _hashes,
     "json_numbers": _props,
     "earliness": lambda s, d: scores.earliness(tq.evidence(s, d)),
-    "causal_consistency": lambda s, d: scores.consistency(_onsets(s, d), tq.strong_edges(s, d)),
-    "rank_shifts": lambda s, d: scores.shifts(_rca(s, d, "a"), _rca(s, d, "d"), tq.strong_edges(s, d)),
+    "causal_consistency": lambda s, d: scores.consistency(_onsets(s, d), tq.edges(s, d), tq.elevation(s, d)),
+    "rank_shifts": lambda s, d: scores.shifts(_rca(s, d, "a"), _rca(s, d, "d"), tq.edges(s, d)),
     "recovery_verdict": lambda s, d: scores.recovery(_mean(s, d, True), _mean(s, d, False), "service", "mean_s", 0.02),
     "sampled_series": lambda s, d: scores.sampled_series(tq.metrics(s, d)),
     "window_recipe": lambda s, d: scores.windows(tq.metrics(s, d), tq.CUTOFF, 100).groupBy("case_id", "metric", "side").agg(F.count("*").alias("rows"), F.count("value").alias("values"), F.round(F.sum("value"), 3).alias("total"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts")),
@@ -56,13 +56,17 @@ ORACLES = {
     "short_hashes": "SELECT DISTINCT case_id, left(sha256(case_id), 16) AS h16, left(sha256(case_id), 8) AS h8 FROM manifest_case",
     "json_numbers": """SELECT event_type, sum(TRY_CAST(nullif(regexp_extract(props, '"k": *([0-9.]+)', 1), '') AS DOUBLE)) AS total, count(*) FILTER (nullif(regexp_extract(props, '"k": *([0-9.]+)', 1), '') IS NULL) AS missing FROM events GROUP BY ALL""",
     "earliness": f"WITH {tq.STEPS} SELECT case_id, entity, round(CASE WHEN first_ts IS NULL OR min(first_ts) OVER w = max(first_ts) OVER w THEN 0 ELSE 1 - (first_ts - min(first_ts) OVER w) / CAST(max(first_ts) OVER w - min(first_ts) OVER w AS DOUBLE) END, 9) AS earliness FROM evidence WINDOW w AS (PARTITION BY case_id)",
-    "causal_consistency": f"""WITH {tq.POINTS}, {tq.SPANS},
+    "causal_consistency": f"""WITH {tq.POINTS}, {tq.LATENCY},
 on1 AS (SELECT case_id, entity, min(ts) FILTER (is_anomaly) AS t FROM points GROUP BY ALL),
-b AS (SELECT *, min(t) OVER (PARTITION BY case_id) AS t0, count(t) OVER (PARTITION BY case_id) - CASE WHEN t IS NULL THEN 0 ELSE 1 END AS others FROM on1),
-nb AS (SELECT case_id, a, x, max(callee) AS callee FROM (SELECT case_id, src AS a, dst AS x, 1 AS callee FROM strong UNION ALL SELECT case_id, dst, src, 0 FROM strong) GROUP BY ALL),
-g AS (SELECT b.case_id, b.entity, b.t, b.t0, b.others, count(o.t) AS near, count(o.t) FILTER (callee = 1) AS called, count(*) FILTER (callee = 1 AND o.t >= b.t) AS later FROM b LEFT JOIN nb ON nb.case_id = b.case_id AND nb.a = b.entity LEFT JOIN on1 o ON o.case_id = nb.case_id AND o.entity = nb.x GROUP BY ALL),
-s AS (SELECT case_id, entity, CASE WHEN t IS NULL THEN 0.7 WHEN t = t0 THEN 1.0 WHEN t - t0 <= 15 THEN 0.85 ELSE 0.4 END::DOUBLE AS temporal, CASE WHEN others = 0 THEN 0.9 WHEN near > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS topology,
-  CASE WHEN called = 0 THEN 0.8 WHEN later = called THEN 1.0 WHEN later > 0 THEN 0.85 ELSE 0.5 END::DOUBLE AS propagation FROM g)
+b AS (SELECT x.case_id, x.entity, x.t, min(o.t) AS t0, count(o.t) AS others FROM on1 x LEFT JOIN on1 o ON o.case_id = x.case_id AND o.entity <> x.entity GROUP BY ALL),
+und AS (SELECT case_id, src, dst FROM edges UNION SELECT case_id, dst, src FROM edges),
+near AS (SELECT case_id, src, dst FROM und UNION SELECT a.case_id, a.src, b.dst FROM und a JOIN und b ON a.case_id = b.case_id AND a.dst = b.src),
+hit AS (SELECT DISTINCT n.case_id, n.src AS entity FROM near n JOIN on1 o ON o.case_id = n.case_id AND o.entity = n.dst AND o.t IS NOT NULL WHERE n.src <> n.dst),
+slow AS (SELECT case_id, max(score) > 0.4 AS slow FROM elev GROUP BY ALL),
+s AS (SELECT b.case_id, b.entity, CASE WHEN t IS NULL THEN 0.7 WHEN others = 0 THEN 0.9 WHEN t <= t0 THEN 1.0 WHEN t - t0 <= 15 THEN 0.85 ELSE 0.4 END::DOUBLE AS temporal,
+  CASE WHEN others = 0 THEN 0.9 WHEN hit.entity IS NOT NULL THEN 1.0 ELSE 0.5 END::DOUBLE AS topology,
+  CASE WHEN t IS NOT NULL AND coalesce(slow, false) THEN 1.0 WHEN t IS NOT NULL THEN 0.85 WHEN coalesce(slow, false) THEN 0.8 ELSE 0.5 END::DOUBLE AS propagation
+  FROM b LEFT JOIN hit ON hit.case_id = b.case_id AND hit.entity = b.entity LEFT JOIN slow ON slow.case_id = b.case_id)
 SELECT *, round(0.35 * temporal + 0.35 * topology + 0.30 * propagation, 9) AS score, round(0.35 * temporal + 0.35 * topology + 0.30 * propagation, 9) >= 0.65 AS passed FROM s""",
     "recovery_verdict": f"""WITH {tq.SPANS}, a AS (SELECT case_id || '/' || service AS service, round(avg(duration_us) / 1e6, 3) AS m FROM spans WHERE start_us < {tq.CUTOFF}000000 GROUP BY ALL), b AS (SELECT case_id || '/' || service AS service, round(avg(duration_us) / 1e6, 3) AS m FROM spans WHERE start_us >= {tq.CUTOFF}000000 GROUP BY ALL)
 SELECT coalesce(a.service, b.service) AS service, a.m AS before, b.m AS after, CASE WHEN a.m IS NULL THEN 'appeared' WHEN b.m IS NULL THEN 'gone' WHEN b.m < a.m * 0.98 THEN 'recovered' WHEN b.m > a.m * 1.02 THEN 'worse' ELSE 'same' END AS verdict FROM a FULL OUTER JOIN b ON a.service = b.service""",
@@ -71,7 +75,7 @@ SELECT coalesce(a.service, b.service) AS service, a.m AS before, b.m AS after, C
 n AS (SELECT *, CASE WHEN side = 'normal' THEN row_number() OVER (PARTITION BY case_id, metric, side ORDER BY obs_idx DESC) ELSE row_number() OVER (PARTITION BY case_id, metric, side ORDER BY obs_idx) END AS k FROM f)
 SELECT case_id, metric, side, count(*) AS rows, count(value) AS "values", round(sum(value), 3) AS total, min(ts) AS from_ts, max(ts) AS to_ts FROM n WHERE k <= 100 GROUP BY ALL""",
 }
-_A, _D = tq.RCA.format(total="s1"), tq.RCA.format(total="s1 + s2 + s3 + s4")
+_A, _D = tq.RCA.format(total="s1"), tq.RCA.format(total="s1 + s2 + s4")
 ORACLES["rank_shifts"] = f"""SELECT a.case_id, a.entity, a.rank AS old_rank, b.rank AS new_rank, CASE WHEN b.rank < a.rank THEN 'promoted' WHEN b.rank > a.rank THEN 'demoted' ELSE 'same' END AS shift,
-  EXISTS (SELECT 1 FROM (WITH {tq.SPANS} SELECT * FROM strong) s JOIN ({_D}) t ON t.case_id = s.case_id AND t.entity = s.src AND t.rank = 1 WHERE s.case_id = a.case_id AND s.dst = a.entity) AS downstream
+  EXISTS (SELECT 1 FROM (WITH {tq.SPANS} SELECT * FROM edges) s JOIN ({_D}) t ON t.case_id = s.case_id AND t.entity = s.src AND t.rank = 1 WHERE s.case_id = a.case_id AND s.dst = a.entity) AS downstream
 FROM ({_A}) a JOIN ({_D}) b ON a.case_id = b.case_id AND a.entity = b.entity"""

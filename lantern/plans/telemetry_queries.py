@@ -40,13 +40,6 @@ def edges(s: SparkSession, d: str) -> DataFrame:
     return traces.edges(calls(s, d))
 
 
-def strong_edges(s: SparkSession, d: str) -> DataFrame:
-    """The 6 edges of most calls of each case, ties by name, so that the graph isn't complete; all others are left out."""
-    from pyspark.sql import Window
-
-    return edges(s, d).withColumn("_r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n"), "src", "dst"))).where("_r <= 6").drop("_r")
-
-
 def universe(s: SparkSession, d: str) -> DataFrame:
     return telemetry.spans(s, d).select("case_id", F.col("service").alias("entity")).distinct()
 
@@ -103,7 +96,7 @@ def tcec(s: SparkSession, d: str) -> DataFrame:
     st = cut(episodes.entity_steps(p, K, M))
     alarms = detect.case_alarms(p, K, 3)
     cand = alarms.where("alarm").select("case_id", F.col("ts").alias("candidate_ts"))
-    return graph.confirm(cut(episodes.entity_episodes(st)), strong_edges(s, d), cand, st.select("case_id", "ts").distinct())
+    return graph.confirm(cut(episodes.entity_episodes(st)), edges(s, d), cand, st.select("case_id", "ts").distinct())
 
 
 def order_decomposition(s: SparkSession, d: str) -> DataFrame:
@@ -142,7 +135,7 @@ QUERIES = {
     "rank_margin": lambda s, d: ranking.margins(s_comb(s, d)).withColumn("margin", F.round("margin", 9)),
     "rank_softmax": lambda s, d: ranking.softmax(s_comb(s, d)).withColumn("probability", F.round("probability", 9)),
     "rank_random": lambda s, d: ranking.hash_order(universe(s, d)),
-    **{f"rank_rca_{k}": lambda s, d, use=use: ranking.observational(evidence(s, d), strong_edges(s, d), use) for k, use in ranking.CONFIGURATIONS.items()},
+    **{f"rank_rca_{k}": lambda s, d, use=use: ranking.observational(evidence(s, d), edges(s, d), use) for k, use in ranking.CONFIGURATIONS.items()},
     "span_edges": edges,
     "span_relations": calls,
     "edge_latency": lambda s, d: latency(s, d).withColumns({c: F.round(c, 9) for c in ("fraction_p50", "covered_p50")}),
@@ -158,10 +151,10 @@ QUERIES = {
     "rank_tiebreak": lambda s, d: ranking.tiebreak(s_comb(s, d).withColumn("score", F.round("score", 1)), elevation(s, d)),
     "trace_p95_alerts": lambda s, d: traces.p95_alerts(telemetry.spans(s, d), CUTOFF * 1_000_000, 1.02),
     "uninstrumented": lambda s, d: traces.uninstrumented(telemetry.spans(s, d).select("case_id", F.explode(F.array(*map(F.lit, ("click", "view", "search", "logout")))).alias("entity")).distinct(), telemetry.spans(s, d)),
-    "reachability": lambda s, d: graph.reach(strong_edges(s, d)),
-    "neighbourhood": lambda s, d: graph.within(strong_edges(s, d), 2),
-    "propagation_coverage": lambda s, d: graph.propagation_coverage(evidence(s, d), strong_edges(s, d)),
-    "rank_propagation": lambda s, d: ranking.coverage_rank(s_comb(s, d), graph.propagation_coverage(evidence(s, d), strong_edges(s, d))).select("case_id", "entity", "coverage", "score", "new_rank"),
+    "reachability": lambda s, d: graph.reach(edges(s, d)),
+    "neighbourhood": lambda s, d: graph.within(edges(s, d), 2),
+    "propagation_coverage": lambda s, d: graph.propagation_coverage(evidence(s, d), edges(s, d)),
+    "rank_propagation": lambda s, d: ranking.coverage_rank(s_comb(s, d), graph.propagation_coverage(evidence(s, d), edges(s, d))).select("case_id", "entity", "coverage", "score", "new_rank"),
     "tcec": tcec,
     "edge_first_visible": lambda s, d: graph.visible_at(edges(s, d), metrics(s, d).select("case_id", "ts").distinct()),
     "incident_window_oracle": lambda s, d: graph.incident_window(truth(s, d), evidence(s, d), "oracle"),
@@ -237,8 +230,7 @@ calls AS (SELECT c.case_id, p.service AS src, c.service AS dst, p.span_id AS cal
     c.start_us - p.start_us AS start_lag, p.start_us + p.duration_us - c.start_us - c.duration_us AS return_lag,
     CASE WHEN p.duration_us > 0 THEN greatest(c.duration_us, 0) / CAST(p.duration_us AS DOUBLE) ELSE 0 END AS fraction, greatest(p.start_us + p.duration_us, c.start_us + c.duration_us) AS visible_us
   FROM spans c JOIN spans p ON c.case_id = p.case_id AND c.parent_span_id = p.span_id WHERE c.service <> p.service),
-edges AS (SELECT case_id, src, dst, count(*) AS n, min(visible_us) AS first_visible_us FROM calls GROUP BY ALL),
-strong AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, src, dst) AS r FROM edges) WHERE r <= 6)"""
+edges AS (SELECT case_id, src, dst, count(*) AS n, min(visible_us) AS first_visible_us FROM calls GROUP BY ALL)"""
 
 # A span here has one child at most (the next event of the day), so its cover is one clipped interval.
 LATENCY = SPANS + """,
@@ -272,18 +264,18 @@ base AS (SELECT case_id, entity, has_episode, CASE WHEN has_episode THEN first_t
 own AS (SELECT *, CASE WHEN NOT has_episode THEN 0 WHEN min(first_ts) OVER w = max(first_ts) OVER w THEN 1 ELSE 1 - (first_ts - min(first_ts) OVER w) / CAST(max(first_ts) OVER w - min(first_ts) OVER w AS DOUBLE) END AS r_early,
     CASE WHEN has_episode THEN coalesce(peak / nullif(max(peak) OVER w, 0), 0) ELSE 0 END AS r_strength FROM base WINDOW w AS (PARTITION BY case_id)),
 near AS (SELECT o.case_id, o.entity, count(s.dst) AS n, count(*) FILTER (c.has_episode) AS hit, count(*) FILTER (c.has_episode AND c.first_ts >= o.first_ts) AS later
-  FROM own o LEFT JOIN strong s ON s.case_id = o.case_id AND s.src = o.entity LEFT JOIN own c ON c.case_id = s.case_id AND c.entity = s.dst GROUP BY ALL),
+  FROM own o LEFT JOIN edges s ON s.case_id = o.case_id AND s.src = o.entity LEFT JOIN own c ON c.case_id = s.case_id AND c.entity = s.dst GROUP BY ALL),
 rca0 AS (SELECT case_id, entity, round(r_strength, 9) AS r_strength, round(r_early, 9) AS r_early, round(CASE WHEN has_episode AND n > 0 THEN hit / CAST(n AS DOUBLE) ELSE 0 END, 9) AS r_coverage, round(CASE WHEN has_episode AND n > 0 THEN later / CAST(n AS DOUBLE) ELSE 0 END, 9) AS r_prop, first_ts, peak,
     r_strength AS s1, r_early AS s2, CASE WHEN has_episode AND n > 0 THEN hit / CAST(n AS DOUBLE) ELSE 0 END AS s3, CASE WHEN has_episode AND n > 0 THEN later / CAST(n AS DOUBLE) ELSE 0 END AS s4 FROM own JOIN near USING (case_id, entity)),
 rca AS (SELECT * EXCLUDE (s1, s2, s3, s4), round({total}, 9) AS score FROM rca0)
 SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, first_ts NULLS LAST, peak DESC, entity) AS INTEGER) AS rank FROM rca"""
 
 REACH = "WITH RECURSIVE " + SPANS + """,
-reach AS (SELECT case_id, src, dst FROM strong UNION SELECT r.case_id, r.src, s.dst FROM reach r JOIN strong s ON s.case_id = r.case_id AND s.src = r.dst)
+reach AS (SELECT case_id, src, dst FROM edges UNION SELECT r.case_id, r.src, s.dst FROM reach r JOIN edges s ON s.case_id = r.case_id AND s.src = r.dst)
 SELECT * FROM reach WHERE src <> dst"""
 
 COVERAGE = STEPS + "," + SPANS + """,
-und AS (SELECT DISTINCT case_id, least(src, dst) AS u, greatest(src, dst) AS v FROM strong),
+und AS (SELECT DISTINCT case_id, least(src, dst) AS u, greatest(src, dst) AS v FROM edges),
 ori AS (SELECT und.case_id, CASE WHEN a.first_ts < b.first_ts THEN u ELSE v END AS src, CASE WHEN a.first_ts < b.first_ts THEN v ELSE u END AS dst
   FROM und JOIN evidence a ON a.case_id = und.case_id AND a.entity = u AND a.has_episode JOIN evidence b ON b.case_id = und.case_id AND b.entity = v AND b.has_episode WHERE a.first_ts <> b.first_ts),
 reach AS (SELECT case_id, src, dst FROM ori UNION SELECT r.case_id, r.src, o.dst FROM reach r JOIN ori o ON o.case_id = r.case_id AND o.src = r.dst),
@@ -319,8 +311,8 @@ ORACLES = {
     "rank_random": f"WITH {SPANS}, u AS (SELECT DISTINCT case_id, service AS entity FROM spans), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY sha256(case_id || '|' || entity), entity) AS INTEGER) AS rank, count(*) OVER (PARTITION BY case_id) AS n FROM u) SELECT case_id, entity, rank, round((n - rank + 1) / CAST(n AS DOUBLE), 9) AS score FROM r",
     "rank_rca_a": RCA.format(total="s1"),
     "rank_rca_b": RCA.format(total="s1 + s2"),
-    "rank_rca_c": RCA.format(total="s1 + s2 + s3"),
-    "rank_rca_d": RCA.format(total="s1 + s2 + s3 + s4"),
+    "rank_rca_c": RCA.format(total="s1 + s3"),
+    "rank_rca_d": RCA.format(total="s1 + s2 + s4"),
     "span_edges": f"WITH {SPANS} SELECT * FROM edges",
     "span_relations": f"WITH {SPANS} SELECT * FROM calls",
     "edge_latency": f"WITH {LATENCY} SELECT * REPLACE (round(fraction_p50, 9) AS fraction_p50, round(covered_p50, 9) AS covered_p50) FROM latency",
@@ -345,12 +337,12 @@ SELECT p.span_id, duration, coalesce(children, 0) AS children, coalesce(covered,
     "trace_p95_alerts": f"WITH {SPANS}, q AS (SELECT case_id, service, quantile_cont(CAST(duration_us AS DOUBLE), 0.95) FILTER (start_us < {CUTOFF}000000) AS normal_p95, quantile_cont(CAST(duration_us AS DOUBLE), 0.95) FILTER (start_us >= {CUTOFF}000000) AS incident_p95 FROM spans GROUP BY ALL) SELECT *, coalesce(normal_p95 > 0 AND incident_p95 >= 1.02 * normal_p95, false) AS alert FROM q",
     "uninstrumented": f"WITH {SPANS}, x AS (SELECT DISTINCT case_id, unnest(['click', 'view', 'search', 'logout']) AS entity FROM spans) SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.case_id = x.case_id AND s.service = x.entity)",
     "reachability": REACH,
-    "neighbourhood": f"WITH {SPANS}, b AS (SELECT DISTINCT * FROM (SELECT case_id, src, dst FROM strong UNION ALL SELECT case_id, dst, src FROM strong)), two AS (SELECT a.case_id, a.src, c.dst FROM b a JOIN b c ON a.case_id = c.case_id AND a.dst = c.src WHERE a.src <> c.dst) SELECT case_id, src, dst, min(hops) AS hops FROM (SELECT *, 1 AS hops FROM b UNION ALL SELECT *, 2 FROM two) GROUP BY ALL",
+    "neighbourhood": f"WITH {SPANS}, b AS (SELECT DISTINCT * FROM (SELECT case_id, src, dst FROM edges UNION ALL SELECT case_id, dst, src FROM edges)), two AS (SELECT a.case_id, a.src, c.dst FROM b a JOIN b c ON a.case_id = c.case_id AND a.dst = c.src WHERE a.src <> c.dst) SELECT case_id, src, dst, min(hops) AS hops FROM (SELECT *, 1 AS hops FROM b UNION ALL SELECT *, 2 FROM two) GROUP BY ALL",
     "propagation_coverage": f"WITH RECURSIVE {COVERAGE} SELECT * FROM coverage",
     "rank_propagation": f"WITH RECURSIVE {COVERAGE}, {SCOMB[len(STEPS) + 1:].strip()} SELECT case_id, entity, coalesce(coverage, 0) AS coverage, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY coalesce(coverage, 0) DESC, score DESC, rank) AS INTEGER) AS new_rank FROM scomb LEFT JOIN coverage USING (case_id, entity)",
     "tcec": f"""WITH {STEPS}, {SPANS},
 cand AS (SELECT case_id, ts AS candidate_ts FROM (SELECT case_id, ts, count(*) FILTER (streak >= {K}) AS a FROM streaks GROUP BY ALL) WHERE a >= 3),
-b AS (SELECT case_id, src, dst FROM strong UNION SELECT case_id, dst, src FROM strong),
+b AS (SELECT case_id, src, dst FROM edges UNION SELECT case_id, dst, src FROM edges),
 pairs AS (SELECT i.case_id, i.start_ts AS ti, i.end_ts AS tei, j.start_ts AS tj FROM episodes i JOIN b ON b.case_id = i.case_id AND b.src = i.entity JOIN episodes j ON j.case_id = i.case_id AND j.entity = b.dst AND j.start_ts > i.start_ts)
 SELECT c.case_id, c.candidate_ts, greatest(c.candidate_ts, min(tj)) AS confirmed_ts, min(tj) IS NOT NULL AS confirmed FROM cand c
 LEFT JOIN pairs p ON p.case_id = c.case_id AND (ti >= candidate_ts OR (ti <= candidate_ts AND candidate_ts <= tei)) GROUP BY c.case_id, c.candidate_ts""".replace("greatest(c.candidate_ts, min(tj))", "CASE WHEN min(tj) IS NOT NULL THEN greatest(c.candidate_ts, min(tj)) END"),

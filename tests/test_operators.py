@@ -330,8 +330,15 @@ def test_scores(spark, rows):
 
     ev = spark.createDataFrame([("c", "a", True, 0), ("c", "b", True, 10), ("c", "d", True, 100), ("c", "e", False, None)], "case_id string, entity string, has_episode boolean, first_ts bigint")
     e = spark.createDataFrame([("c", "a", "b"), ("c", "d", "a")], "case_id string, src string, dst string")
-    got = {r.entity: (r.temporal, r.topology, r.propagation) for r in scores.consistency(ev, e).collect()}
-    assert got == {"a": (1.0, 1.0, 1.0), "b": (0.85, 1.0, 0.8), "d": (0.4, 1.0, 0.5), "e": (0.7, 0.5, 0.8)}
+    # From the rules: onset against the first of the others, two edges at most, and latency above .4 anywhere in the case.
+    ev = ev.unionAll(spark.createDataFrame([("d", "a", True, 5), ("d", "b", False, None), ("f", "a", True, 5), ("f", "b", False, None), ("f", "x", True, 7)], ev.schema))
+    e = e.unionAll(spark.createDataFrame([("f", "a", "b"), ("f", "b", "x")], e.schema))
+    slow = spark.createDataFrame([("d", "b", 0.41), ("c", "a", 0.4)], "case_id string, entity string, score double")
+    got = {(r.case_id, r.entity): (r.temporal, r.topology, r.propagation) for r in scores.consistency(ev, e, slow).collect()}
+    assert got == {
+        ("c", "a"): (1.0, 1.0, 0.85), ("c", "b"): (0.85, 1.0, 0.85), ("c", "d"): (0.4, 1.0, 0.85), ("c", "e"): (0.7, 0.5, 0.5),
+        ("d", "a"): (0.9, 0.9, 1.0), ("d", "b"): (0.7, 0.5, 0.8), ("f", "a"): (1.0, 1.0, 0.85), ("f", "b"): (0.7, 1.0, 0.5), ("f", "x"): (0.85, 1.0, 0.85),
+    }
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
     b = spark.createDataFrame([("x", 2.0), ("z", 1.0)], "k string, v double")
     assert rows(scores.recovery(a, b, "k", "v"), "k", "verdict") == [("x", "worse"), ("y", "gone"), ("z", "appeared")]
