@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.blocks import running
+
 
 def detection_outcome(points: DataFrame, alarms: DataFrame, inject: int) -> DataFrame:
     """Per case: false-alarm rate before, density after, first alarm on each side, latency and outcome."""
@@ -161,3 +163,99 @@ def folds(cases: DataFrame, family: str, k: int = 3) -> DataFrame:
     """The fold of each case: its family's number modulo k.  Families are few: they are numbered after an aggregate."""
     n = cases.select(family).distinct().withColumn("fold", (F.row_number().over(Window.orderBy(family)) - 1) % k)
     return cases.join(n, family)
+
+
+def outcome_rates(results: DataFrame, by: str = "method") -> DataFrame:
+    """Per method: cases, abstention, false remediation, recovery, regression, hits per query and mean runtime.
+
+    results has status, abstained, authorized, top_1, recovered, regressed, queries and runtime.  A rate without a denominator is null,
+    not 0: remediation is judged over authorised cases only, efficiency over the queries asked, runtime over the cases that succeeded.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    ok, auth = F.col("status") == "SUCCESS", yes("authorized")
+    rate = lambda hit, of: F.round(F.try_divide(F.count_if(hit).cast("double"), of), 9)
+    n_auth = F.count_if(auth)
+    asked = F.sum(F.coalesce("queries", F.lit(0)))
+    return results.groupBy(by).agg(
+        F.count("*").alias("cases"),
+        F.count_if(ok).alias("evaluated"),
+        rate(~ok | yes("abstained"), F.count("*")).alias("abstention_rate"),
+        rate(auth & (F.coalesce("top_1", F.lit(0)) == 0), n_auth).alias("false_remediation_rate"),
+        rate(auth & yes("recovered"), n_auth).alias("recovery_rate"),
+        rate(auth & yes("regressed"), n_auth).alias("regression_rate"),
+        F.round(F.try_divide(F.count_if(ok & (F.col("top_1") == 1)).cast("double"), asked), 9).alias("query_efficiency"),
+        F.round(F.avg(F.when(ok, F.col("runtime"))), 9).alias("mean_runtime"),
+    )
+
+
+def availability(selected: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: how many of the selected cases have metrics, logs, traces, and all three, and how many lack each.
+
+    index has case_id, n_metrics, has_logs, n_logs, has_traces, n_traces; a case that isn't in it has nothing.
+    """
+    own = index.groupBy(F.col("case_id").alias("_c")).agg(F.max("n_metrics").alias("m"), F.max(F.coalesce("has_logs", F.lit(False)) | (F.coalesce("n_logs", F.lit(0)) > 0)).alias("l"), F.max(F.coalesce("has_traces", F.lit(False)) | (F.coalesce("n_traces", F.lit(0)) > 0)).alias("t"))
+    j = selected.select("case_id").distinct().join(own, F.col("case_id") == F.col("_c"), "left")
+    m, lo, t = F.coalesce(F.col("m") > 0, F.lit(False)), F.coalesce("l", F.lit(False)), F.coalesce("t", F.lit(False))
+    n = F.count("*")
+    return j.agg(n.alias("cases"), F.count_if(m).alias("metrics"), F.count_if(lo).alias("logs"), F.count_if(t).alias("traces"), F.count_if(m & lo & t).alias("all_three"), (n - F.count_if(m)).alias("no_metrics"), (n - F.count_if(lo)).alias("no_logs"), (n - F.count_if(t)).alias("no_traces"))
+
+
+def compare(paired: DataFrame, family: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row with the whole paired comparison: difference, p-value, interval, sizes, spread of both sides and the table of successes."""
+    sizes = paired.join(family, "case_id").groupBy("family").agg(F.count("*").alias("n")).agg(F.sum("n").alias("executions"), F.count("*").alias("families"), F.min("n").alias("least_repetitions"), F.max("n").alias("most_repetitions"), F.round(F.avg("n"), 4).alias("mean_repetitions"))
+    side = lambda c: spread(paired, c).select(*[F.col(x).alias(f"{c}_{x}") for x in ("q1", "median", "q3", "iqr")])
+    won = lambda x, y: F.count_if(((F.col("a") >= 0.5) == F.lit(x)) & ((F.col("b") >= 0.5) == F.lit(y)))
+    table = paired.agg(F.round(F.avg("a"), 6).alias("a_mean"), F.round(F.avg("b"), 6).alias("b_mean"), won(True, False).alias("n10"), won(False, True).alias("n01"), won(True, True).alias("n11"), won(False, False).alias("n00"))
+    out = randomization_test(paired, family, replicates, seed).join(cluster_bootstrap(paired, family, replicates=replicates, seed=seed).select("low", "high"))
+    for one in (sizes, side("a"), side("b"), table):  # every part is one row
+        out = out.join(one)
+    return out
+
+
+def leak_free_split(cases: DataFrame, family: Sequence[str], dev: float = 0.5, val: float = 0.25, seed: int = 42) -> DataFrame:
+    """(case_id, partition): families in a seeded order; the first share of them is dev, the next val, the rest held_out.
+
+    A family is never split.  A case that occurs twice is an error when read.  Families are numbered over many tasks, since they grow with the cases.
+    """
+    if dev < 0 or val < 0 or dev + val > 1:
+        raise ValueError("the shares of dev and val are 0 at least and 1 together at most")
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in family])
+    each = cases.groupBy("case_id").agg(F.count("*").alias("_n"), F.min(name).alias("_f"))
+    each = each.select(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("listed twice: "), F.col("case_id"))).cast("string")).otherwise(F.col("case_id")).alias("case_id"), "_f")
+    fams = each.select("_f").distinct().withColumn("_g", F.lit(0)).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), "_f")))
+    placed = running(fams, ["_g"], [F.col("_h"), F.col("_f")]).select(F.col("_f").alias("_k"), "_pos")
+    n = placed.agg(F.count("*").alias("_all"))
+    part = F.when(F.col("_pos") <= F.bround(F.col("_all") * dev), "dev").when(F.col("_pos") <= F.bround(F.col("_all") * dev) + F.bround(F.col("_all") * val), "val").otherwise("held_out")
+    named = placed.join(F.broadcast(n)).select("_k", part.alias("partition"))
+    return each.join(named, F.col("_f") == F.col("_k")).select("case_id", "partition")
+
+
+def floor_percentile(df: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
+    """(by, n, value): the element at the 0-based place floor(q * n) of the sorted values, the last one at most; nulls don't count.
+
+    Values are numbered by ranges, so a group of any size is spread over tasks.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    n = rows.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("n"))
+    placed = running(rows, by, [F.col("_v")])
+    on = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    return placed.join(n, on).where(F.col("_pos") == F.least(F.floor(F.col("n") * q) + 1, F.col("n"))).select(*by, "n", F.col("_v").alias(value))
+
+
+def annotation_sample(queries: DataFrame, ranking: DataFrame, stratum: str, per_stratum: int = 2, top: int = 3) -> DataFrame:
+    """(query, stratum, rank, doc): the first queries of every stratum with their top documents; a null stratum is 'unknown'.  That limit is the feature."""
+    named = queries.select("query", F.coalesce(F.col(stratum), F.lit("unknown")).alias(stratum)).distinct()
+    first = named.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("query"))).where(F.col("_r") <= per_stratum).drop("_r")
+    return first.join(ranking.where(F.col("rank") <= top).select("query", "rank", "doc"), "query").select("query", stratum, "rank", "doc")
+
+
+def graded(annotations: DataFrame, query_names: DataFrame, doc_names: DataFrame) -> DataFrame:
+    """(query, doc, grade): annotations under the corpus' own names, the highest grade where one document was annotated under several.
+
+    annotations has pool_query, pool_doc, grade; the two others translate pool_query to query and pool_doc to doc.  Names that aren't
+    known are left out, and so are queries without any relevant document.
+    """
+    named = annotations.join(query_names, "pool_query").join(doc_names, "pool_doc")
+    best = named.groupBy("query", "doc").agg(F.max("grade").alias("grade"))
+    relevant = best.where("grade > 0").select("query").distinct()
+    return best.join(relevant, "query", "left_semi")

@@ -117,3 +117,50 @@ def coverage_rank(baseline: DataFrame, coverage: DataFrame) -> DataFrame:
     c = coverage.select("case_id", "entity", "coverage")
     joined = baseline.join(c, ["case_id", "entity"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0)))
     return ranked(joined, ["case_id"], [F.desc("coverage"), F.desc("score"), F.asc("rank")], "new_rank")
+
+
+def alerts(metrics: DataFrame, spans: DataFrame, logs: DataFrame, universe: DataFrame, onset: int, end: int, error: str) -> DataFrame:
+    """(case_id, entity, score, rank): number of alerts of every entity of the universe, most first, then by name.
+
+    One for each metric that goes above its mean by three deviations of the time before the onset at any step of the incident; one if the 95th
+    percentile of its spans is three times what it was; one for each log line of the incident that tells of an error.
+    metrics has case_id, entity, metric, ts, value; spans case_id, service, start_us, duration_us; logs case_id, container, timestamp, message.
+    """
+    inc = (F.col("ts") >= onset) & (F.col("ts") <= end)
+    before, during = F.when(F.col("ts") < onset, F.col("value")), F.when(inc, F.col("value"))
+    per = metrics.groupBy("case_id", "entity", "metric").agg(F.avg(before).alias("mu"), F.stddev_pop(before).alias("sd"), F.max(during).alias("top"))
+    hot = per.where(F.col("top") > F.col("mu") + 3 * F.greatest(F.col("sd"), F.lit(1e-6))).groupBy("case_id", "entity").agg(F.count("*").alias("n"))
+    t = F.col("start_us") / 1e6
+    d = F.col("duration_us").cast("double")
+    p95 = spans.groupBy("case_id", F.col("service").alias("entity")).agg(F.percentile(F.when(t < onset, d), 0.95).alias("a"), F.percentile(F.when((t >= onset) & (t <= end), d), 0.95).alias("b"))
+    slow = p95.where((F.col("b") > 0) & (F.col("b") >= 3 * F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(1e-3)))).select("case_id", "entity", F.lit(1).cast("bigint").alias("n"))
+    said = logs.where((F.col("timestamp") >= onset) & (F.col("timestamp") <= end) & F.col("message").rlike(error)).groupBy("case_id", F.col("container").alias("entity")).agg(F.count("*").alias("n"))
+    total = hot.unionByName(slow).unionByName(said).groupBy("case_id", "entity").agg(F.sum("n").cast("double").alias("score"))
+    return by_score(universe, total, "score")
+
+
+def rerank_head(ranking: DataFrame, relief: DataFrame, k: int = 5) -> DataFrame:
+    """(case_id, entity, rank, new_rank): the first k by relief, then as before; all others keep their order behind them.
+
+    An entity of the head without relief counts as 0.
+    """
+    r = relief.select("case_id", "entity", F.col("relief").alias("_r"))
+    j = ranking.join(r, ["case_id", "entity"], "left").withColumn("_head", F.col("rank") <= k)
+    order = [F.desc("_head"), F.desc(F.when(F.col("_head"), F.coalesce("_r", F.lit(0.0)))), F.asc("rank"), F.asc("entity")]
+    return ranked(j, ["case_id"], order, "new_rank").select("case_id", "entity", "rank", "new_rank")
+
+
+#: What a query of each kind costs.
+COSTS = {"metrics": 1, "traces": 3, "logs": 2, "neighbours": 1, "health": 1, "change": 2}
+
+
+def next_query(candidates: DataFrame, spent: DataFrame, budget: int) -> DataFrame:
+    """(case_id, service, tool, priority, cost): the query of highest priority that is still affordable and not yet asked.
+
+    Ties: the dearer first, then by service and tool.  ``spent`` has case_id, service and tool of the queries asked.
+    """
+    cost = F.create_map(*[x for k, v in COSTS.items() for x in (F.lit(k), F.lit(v))])
+    paid = spent.groupBy("case_id").agg(F.sum(F.try_element_at(cost, F.col("tool"))).alias("_paid"))
+    open_ = candidates.join(spent.select("case_id", "service", "tool").distinct(), ["case_id", "service", "tool"], "left_anti")
+    can = open_.withColumn("cost", F.try_element_at(cost, F.col("tool"))).join(paid, "case_id", "left").where(F.col("cost") <= budget - F.coalesce("_paid", F.lit(0)))
+    return ranked(can, ["case_id"], [F.desc("priority"), F.desc("cost"), F.asc("service"), F.asc("tool")], "_r").where("_r = 1").select("case_id", "service", "tool", "priority", "cost")

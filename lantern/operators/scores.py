@@ -76,3 +76,40 @@ def windows(metrics: DataFrame, onset: int, rows: int = 600) -> DataFrame:
     side = filled.withColumn("side", F.when(F.col("ts") < onset, "normal").otherwise("incident"))
     n = F.when(F.col("side") == "normal", F.row_number().over(Window.partitionBy("case_id", "metric", "side").orderBy(F.desc("obs_idx")))).otherwise(F.row_number().over(Window.partitionBy("case_id", "metric", "side").orderBy("obs_idx")))
     return side.withColumn("_n", n).where(F.col("_n") <= rows).select("case_id", "metric", "ts", "value", "side")
+
+
+def verify_recovery(before: DataFrame, after: DataFrame, targets: DataFrame) -> DataFrame:
+    """(case_id, recovered, unresolved, regressions, status, support) of an intervention, from two snapshots of every service.
+
+    Snapshots have case_id, service, anomaly_score, latency_p90 and error_rate, absent values count 0; targets has case_id and target.
+    A symptom is a score above .2, a latency above 100 or any errors.  It is recovered when it is gone, or when a score fell by 65 %;
+    a score that rises from there to above .4, or more errors than before and than 5, is a regression.  The status is RESOLVED,
+    NOT_RESOLVED or UNCERTAIN; support says whether the outcome speaks for the target: SUPPORTS, CONTRADICTS or INCONCLUSIVE.
+    """
+    names = ("anomaly_score", "latency_p90", "error_rate")
+    side = lambda df, tag: df.select(F.col("case_id").alias(f"_c{tag}"), F.col("service").alias(f"_s{tag}"), *[F.col(c).cast("double").alias(f"{tag}{i}") for i, c in enumerate(names)])
+    j = side(before, "b").join(side(after, "a"), (F.col("_cb") == F.col("_ca")) & (F.col("_sb") == F.col("_sa")), "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    b, a = [zero(f"b{i}") for i in range(3)], [zero(f"a{i}") for i in range(3)]
+    hot = b[0] > 0.2
+    healed = hot & ((a[0] <= 0.2) | (F.coalesce(F.try_divide(b[0] - a[0], b[0]), F.lit(0.0)) >= 0.65))
+    counts = {
+        "rec": healed.cast("int") + ((b[1] > 100) & (a[1] <= 100)).cast("int") + ((b[2] > 0) & (a[2] == 0)).cast("int"),
+        "left": (hot & ~healed).cast("int") + ((b[1] > 100) & (a[1] > 100)).cast("int"),
+        "worse": (~hot & (a[0] > 0.4)).cast("int") + ((a[2] > b[2]) & (a[2] > 5)).cast("int"),
+    }
+    each = j.select(F.coalesce("_cb", "_ca").alias("case_id"), F.coalesce("_sb", "_sa").alias("service"), *[v.alias(k) for k, v in counts.items()], (hot | (b[1] > 100) | (b[2] > 0)).alias("sick"), F.col("b0").isNotNull().alias("seen"))
+    t = targets.select(F.col("case_id").alias("_t"), F.coalesce("target", F.lit("")).alias("target"))
+    each = each.join(t, F.col("case_id") == F.col("_t"), "left").withColumn("target", F.coalesce("target", F.lit("")))
+    own = F.contains(F.col("service"), F.col("target")) & (F.col("target") != "")
+    if_ = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    g = each.groupBy("case_id").agg(
+        F.sum("rec").alias("recovered"), F.sum("left").alias("unresolved"), F.sum("worse").alias("regressions"), if_(own, "rec").alias("own_rec"), if_(~own, "rec").alias("far_rec"), if_(~own, "left").alias("far_left"),
+        F.max(F.col("sick") & (F.col("service") != F.col("target"))).alias("far_sick"), F.max("seen").alias("seen"), F.max("target").alias("target"),
+    )
+    target_well, worse, left = (F.col("target") == "") | (F.col("own_rec") > 0), F.col("regressions") > 0, F.col("unresolved") > 0
+    status = F.when(worse | (left & ~target_well), "NOT_RESOLVED").when(left, "UNCERTAIN").when((F.col("recovered") > 0) | ~F.col("seen"), "RESOLVED").otherwise("UNCERTAIN")
+    g = g.withColumn("status", status)
+    far_well = (F.col("far_left") == 0) & (~F.col("far_sick") | (F.col("far_rec") > 0) | (F.col("status") == "RESOLVED"))
+    support = F.when(worse | ((F.col("status") == "NOT_RESOLVED") & (F.col("own_rec") == 0)), "CONTRADICTS").when((F.col("status") == "RESOLVED") & (far_well | ~F.col("far_sick")), "SUPPORTS").otherwise("INCONCLUSIVE")
+    return g.select("case_id", "recovered", "unresolved", "regressions", "status", support.alias("support"))

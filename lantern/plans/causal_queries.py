@@ -82,8 +82,10 @@ h AS (SELECT *, CASE WHEN c2 > c1 * 1.05 THEN e2 ELSE e1 END AS b2, CASE WHEN c2
 i AS (SELECT *, CASE WHEN margin < 0.15 THEN CASE WHEN c3 > bc * 1.05 THEN e3 ELSE b2 END ELSE e1 END AS chosen FROM h)
 SELECT case_id, e1 AS first, chosen, round(margin, 9) AS margin, chosen <> e1 AS switched FROM i""",
     "rate_limit": "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w <= 3 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)",
-    "stream_tumbling": _WINDOWED.format(start="date_trunc('hour', ts)", source="events"),
-    "stream_sliding": _WINDOWED.format(start="st", source="(SELECT *, date_trunc('hour', ts) - unnest([INTERVAL 0 HOUR, INTERVAL 1 HOUR]) AS st FROM events)"),
+    # A window comes out when the watermark, two hours behind the last event, has passed its end.
+    "stream_tumbling": "SELECT * FROM (" + _WINDOWED.format(start="date_trunc('hour', ts)", source="events") + ") WHERE start_ts + 3600 <= (SELECT epoch(max(ts)) - 7200 FROM events)",
+    "stream_sliding": "SELECT * FROM (" + _WINDOWED.format(start="st", source="(SELECT *, date_trunc('hour', ts) - unnest([INTERVAL 0 HOUR, INTERVAL 1 HOUR]) AS st FROM events)") + ") WHERE start_ts + 7200 <= (SELECT epoch(max(ts)) - 14400 FROM events)",
+    "stream_join": "SELECT o_orderkey AS key, count(*) AS n, CAST(epoch(max(l_shipdate)) AS BIGINT) AS last FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY GROUP BY ALL",
     "stream_session": "SELECT user_id, min(us) AS start_us, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS g FROM (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g",
     "stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
     "stream_zscore": "SELECT event_type, event_id, round((value - mu) / (sd + 1e-6), 6) AS z FROM (SELECT *, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) WHERE n = 24",

@@ -36,7 +36,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def tumbling(stream: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
-    """Count and sum per window and type; rows later than the watermark are dropped."""
+    """Count and sum per window and type.  A window comes out when the watermark has passed it; rows later than that are dropped."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     g = stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return g.select(F.unix_seconds("w.start").alias("start_ts"), "event_type", "n", "total")
@@ -59,24 +59,44 @@ def rolling_zscore(stream: DataFrame, window: int = 24) -> DataFrame:
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
+        ring = np.array(state.get[0] if state.exists else [], float)
         pdf = pd.concat(list(batches)).sort_values("event_id")
-        out = np.full(len(pdf), np.nan)
-        for i, v in enumerate(pdf["value"].to_numpy(dtype=float)):
-            if len(ring) == window:
-                mu, sd = float(np.mean(ring)), float(np.std(ring))
-                out[i] = round((v - mu) / (sd + 1e-6), 6)
-            ring = (ring + [float(v)])[-window:]
-        state.update((ring,))
+        values = pdf["value"].to_numpy(dtype=float)
+        line = np.concatenate([ring, values])
+        out = np.full(len(line), np.nan)
+        if len(line) > window:
+            before = np.lib.stride_tricks.sliding_window_view(line[:-1], window)
+            out[window:] = np.round((line[window:] - before.mean(axis=1)) / (before.std(axis=1) + 1e-6), 6)
+        out = out[len(ring) :]
+        state.update((line[-window:].tolist(),))
         yield pd.DataFrame({"event_type": key[0], "event_id": pdf["event_id"].to_numpy(), "z": out})
 
     return stream.select("event_type", "event_id", "value").groupBy("event_type").applyInPandasWithState(update, "event_type string, event_id bigint, z double", "ring array<double>", "append", "NoTimeout")
 
 
+def availability(parents: DataFrame, children: DataFrame, key: str, start: str, seen: str, horizon: str, late: str = "1 day") -> DataFrame:
+    """(key, start, seen): each child that comes within ``horizon`` of its parent, both as streams.
+
+    Watermarks on both sides bound what either keeps: a parent is forgotten when no child in time can follow.
+    """
+    p = parents.withWatermark(start, late).select(F.col(key).alias("_k"), start)
+    c = children.withWatermark(seen, late)
+    return c.join(p, (F.col(key) == F.col("_k")) & (F.col(seen) >= F.col(start)) & (F.col(seen) <= F.col(start) + F.expr(f"interval {horizon}"))).select(key, start, seen)
+
+
+def orders(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(orders, line items) as streams, with the days of order and of shipping as event times."""
+    read = lambda name: spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}].parquet")
+    o = read("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ordered"))
+    li = read("lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("timestamp").alias("shipped"))
+    return o, li
+
+
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "stream_tumbling": lambda s, d: drain(tumbling(events(s, d)), "complete"),
-    "stream_sliding": lambda s, d: drain(tumbling(events(s, d), "2 hours", "4 hours", "1 hour"), "complete"),
+    "stream_tumbling": lambda s, d: drain(tumbling(events(s, d))),
+    "stream_sliding": lambda s, d: drain(tumbling(events(s, d), "2 hours", "4 hours", "1 hour")),
     "stream_session": lambda s, d: drain(sessions(events(s, d)), "complete"),
     "stream_dedup": lambda s, d: drain(deduplicated(events(s, d), "event_id").select("event_id", "user_id")),
+    "stream_join": lambda s, d: drain(availability(*orders(s, d), "key", "ordered", "shipped", "30 days")).groupBy("key").agg(F.count("*").alias("n"), F.unix_seconds(F.max("shipped")).alias("last")),
     "stream_zscore": lambda s, d: drain(rolling_zscore(events(s, d))).where("z is not null and not isnan(z)"),
 }
