@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,17 +105,27 @@ def holm(tests: DataFrame, p: str = "p") -> DataFrame:
 
 
 def randomization_test(paired: DataFrame, family: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    """(difference, p_value): sign flips of whole families, signs from a hash of replicate and family.
+    """(difference, p_value): sign flips of whole families, signs drawn from a hash of the family.
 
-    Families are summed first; each then gives one row per replicate, which is summed by replicate on the map side.
+    Families are summed first.  A partition adds up a vector with one number per replicate, so what leaves it has
+    ``replicates`` rows however many families it holds, and the signs don't depend on the partitioning.
     """
     f = paired.join(family, "case_id").groupBy("family").agg(F.sum(F.col("a") - F.col("b")).alias("s"), F.count("*").alias("n"))
-    draw = f.select("family", "s", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "r", "family"), F.lit(2)) == 0, 1).otherwise(-1)
-    sums = draw.groupBy("r").agg(F.abs(F.sum(sign * F.col("s")) / F.sum("n")).alias("d"))
-    seen = f.agg((F.sum("s") / F.sum("n")).alias("difference"))
+    drawn = f.select(F.xxhash64(F.lit(seed), "family").alias("h"), F.col("s").cast("double").alias("s"))
+
+    def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(replicates)
+        for b in batches:
+            for h, s in zip(b.column("h").to_pylist(), b.column("s").to_numpy(zero_copy_only=False), strict=True):
+                signs = np.unpackbits(np.frombuffer(np.random.Generator(np.random.Philox(key=h % 2**64)).bytes(-(-replicates // 8)), np.uint8))[:replicates]
+                total += np.where(signs == 1, s, -s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(total)], ["r", "t"])
+
+    seen = f.agg((F.sum("s") / F.sum("n")).alias("difference"), F.sum("n").alias("_n"))
+    sums = drawn.mapInArrow(flip, "r bigint, t double").groupBy("r").agg(F.sum("t").alias("t"))
     j = sums.join(F.broadcast(seen))
-    return j.groupBy("difference").agg(((1 + F.count_if(F.col("d") >= F.abs("difference") - 1e-12)) / (replicates + 1)).alias("p_value"))
+    hit = F.abs(F.col("t") / F.col("_n")) >= F.abs("difference") - 1e-12
+    return j.groupBy("difference").agg(((1 + F.count_if(hit)) / (replicates + 1)).alias("p_value"))
 
 
 def cluster_bootstrap(paired: DataFrame, family: DataFrame, level: float = 0.95, replicates: int = 10_000, seed: int = 42) -> DataFrame:
@@ -160,9 +172,9 @@ def rank_pairwise(candidates: DataFrame, weights: dict[str, float]) -> DataFrame
 
 
 def folds(cases: DataFrame, family: str, k: int = 3) -> DataFrame:
-    """The fold of each case: its family's number modulo k.  Families are few: they are numbered after an aggregate."""
-    n = cases.select(family).distinct().withColumn("fold", (F.row_number().over(Window.orderBy(family)) - 1) % k)
-    return cases.join(n, family)
+    """The fold of each case: its family's number modulo k.  Families are numbered over many tasks."""
+    n = running(cases.select(F.col(family).alias("_f")).distinct().withColumn("_g", F.lit(0)), ["_g"], [F.col("_f").asc_nulls_first()])
+    return cases.join(n.select("_f", ((F.col("_pos") - 1) % k).cast("int").alias("fold")), F.col(family).eqNullSafe(F.col("_f"))).drop("_f")
 
 
 def outcome_rates(results: DataFrame, by: str = "method") -> DataFrame:

@@ -91,17 +91,25 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str, percentiles: Se
 
 
 def edge_latency(calls: DataFrame, decomposed: DataFrame | None = None) -> DataFrame:
-    """Per edge: number of calls, sums, and nearest-rank percentiles of what a call took."""
+    """Per edge: number of calls, sums, and nearest-rank percentiles of what a call took.
+
+    All measures of a call become rows of one table, so one exchange of counted values serves every percentile.
+    """
     keys = ["case_id", "src", "dst"]
     base = calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum("caller_duration").alias("total_caller"), F.sum("callee_duration").alias("total_callee"))
-    parts = [("caller_duration", "caller_", (0.1, 0.5, 0.9)), ("callee_duration", "callee_", (0.5, 0.9)), ("return_lag", "lag_", (0.9,)), ("fraction", "fraction_", (0.5,))]
+    wanted = {"caller_duration": ("caller", (0.1, 0.5, 0.9)), "callee_duration": ("callee", (0.5, 0.9)), "return_lag": ("lag", (0.9,)), "fraction": ("fraction", (0.5,))}
     if decomposed is not None:
-        covered = calls.join(decomposed.select(F.col("span_id").alias("caller_span_id"), "covered_fraction"), "caller_span_id")
-        parts.append(("covered_fraction", "covered_", (0.5,)))
-    for value, prefix, ps in parts:
-        d = distribution(covered if value == "covered_fraction" else calls, keys, value, ps, prefix).select(*keys, *[f"{prefix}p{p * 100:g}" for p in ps])
-        base = base.join(d, keys, "left")
-    return base
+        calls = calls.join(decomposed.select(F.col("span_id").alias("caller_span_id"), "covered_fraction"), "caller_span_id", "left")
+        wanted["covered_fraction"] = ("covered", (0.5,))
+    values = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(wanted)])
+    spread = distribution(calls.select(*keys, F.inline(values)), [*keys, "_m"], "_x", (0.1, 0.5, 0.9))
+    whole = ("caller_duration", "callee_duration", "return_lag")  # these are integers, and stay it
+    picked = []
+    for i, (c, (name, ps)) in enumerate(wanted.items()):
+        for p in ps:
+            x = F.max(F.when(F.col("_m") == i, F.col(f"p{p * 100:g}")))
+            picked.append((x.cast("bigint") if c in whole else x).alias(f"{name}_p{p * 100:g}"))
+    return base.join(spread.groupBy(*keys).agg(*picked), keys, "left")
 
 
 def examples(calls: DataFrame, n: int = 5) -> DataFrame:
