@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
+
+#: Texts repeat their words: what a word gives is kept for so many of them per Python worker.
+KEPT = 1 << 16
 
 _BLOCK = re.compile(r"</?(?:p|div|br|h[1-6]|ul|ol|table|tr|pre|section|article|blockquote)\b[^>]*>", re.I)
 _ITEM_TAG = re.compile(r"<li\b[^>]*>", re.I)
@@ -26,14 +30,21 @@ _WORDLIKE = re.compile(r"^[(\"'\u2018\u201c]*[^\W\d_]+(?:['\u2019\-][^\W\d_]+)*[
 _SHORTENED = re.compile(r"\b(e\.g|i\.e|E\.g|I\.e|etc|vs|cf|approx|Dr|Mr|Mrs|Fig)\.")
 _END = re.compile(r"(?<=[.!?\u3002\uff01\uff1f])[\"'\u2019\u201d)\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
-_SPLIT = re.compile(r"\S+")
 
 
-def _is_prose(line: str) -> bool:
+@lru_cache(KEPT)
+def _wordlike(part: str) -> bool:
+    return bool(_WORDLIKE.match(part)) and not (len(part) > 3 and part.isupper())
+
+
+def _is_prose(line: str, going_on: bool) -> bool:
     if _KEY.match(line) or _LEVEL.match(line):
         return False
     parts = line.split()
-    share = sum(1 for p in parts if _WORDLIKE.match(p) and not (len(p) > 3 and p.isupper())) / len(parts)
+    # Capitals mark a constant or a level only among other letters: a line all in capitals, or what goes on from one, may be prose.
+    if line.isupper() and (len(parts) >= 4 or going_on):
+        parts = line.lower().split()
+    share = sum(map(_wordlike, parts)) / len(parts)
     return share >= (0.85 if _CODE.search(line) else 0.55)
 
 
@@ -71,7 +82,7 @@ def paragraphs(text: str) -> list[str]:
                 break
         if not line.strip():
             continue
-        if _is_prose(line):
+        if _is_prose(line, bool(current)):
             current.append(" ".join(line.split()))
         else:
             close()
@@ -79,6 +90,16 @@ def paragraphs(text: str) -> list[str]:
     return out
 
 
+_CODED = re.compile(r"[\d_/=@\\<>{}#.]|-.*-|[a-z][A-Z]", re.S)
+
+
+@lru_cache(KEPT)
+def _words_of(token: str) -> tuple[str, ...]:
+    """The words of a token; none of an identifier, a number or a symbol."""
+    bare = token.strip("()[]\"'\u2018\u2019\u201c\u201d.,;:!?")
+    return () if _CODED.search(bare) or any(map(str.isdigit, bare)) else tuple(_WORD.findall(bare))
+
+
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence of the prose; identifiers, numbers and symbols are not words."""
     out = []
@@ -86,11 +107,8 @@ def sentences(text: str) -> list[list[str]]:
         part = _SHORTENED.sub(lambda m: m.group(1).replace(".", ""), part)
         for s in _END.split(part):
             ws = []
-            for token in _SPLIT.findall(s):
-                bare = token.strip("()[]\"'\u2018\u2019\u201c\u201d.,;:!?")
-                if any(c.isdigit() or c in "_/=@\\<>{}#" for c in bare) or "." in bare or bare.count("-") > 1 or re.search(r"[a-z][A-Z]", bare):
-                    continue
-                ws.extend(_WORD.findall(bare))
+            for token in s.split():
+                ws += _words_of(token)
             if ws:
                 out.append(ws)
     return out
@@ -99,6 +117,7 @@ def sentences(text: str) -> list[list[str]]:
 _VOWELS = re.compile(r"[aeiouy]+")
 
 
+@lru_cache(KEPT)
 def syllables(word: str) -> int:
     """Vowel groups, without a silent final e."""
     w = word.lower()
@@ -122,16 +141,19 @@ FUNCTION_WORDS = {
     "nl": "de het een en van is niet dat op met voor zijn wordt aan ook".split(),
     "pt": "o os da do em que uma para com n\u00e3o por mais dos das foi".split(),
 }
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: The languages that each of these words belongs to.
+_SPOKEN = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for v in FUNCTION_WORDS.values() for w in v}
 
 
 def is_english(words: list[str]) -> bool:
     """Mostly Latin letters, and more English function words than those of any other language here."""
     if not words:
         return False
-    latin = sum(1 for w in words if w[0].lower() < "\u0250")
-    if latin < 0.85 * len(words):
-        return False
     low = [w.lower() for w in words]
-    hits = {k: sum(1 for w in low if w in s) for k, s in _SETS.items()}
+    if sum(w[0] < "\u0250" for w in low) < 0.85 * len(low):
+        return False
+    hits = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in low:
+        for k in _SPOKEN.get(w, ()):
+            hits[k] += 1
     return hits["en"] >= 0.06 * len(low) and hits["en"] >= max(v for k, v in hits.items() if k != "en")

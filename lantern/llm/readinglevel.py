@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.llm.graded import PASSAGES
-from lantern.llm.prose import is_english, sentences, syllables
+from lantern.llm.prose import KEPT, is_english, sentences, syllables
 
 #: Lower bounds of the grade bands: early, primary, middle, high school, college.
 BANDS = (0, 4, 7, 10, 13)
@@ -31,19 +31,23 @@ FEATURES = ("diversity", "rarity", "connectives", "clause_depth", "word_length",
 PENALTY = 0.02
 
 
+@lru_cache(KEPT)
+def _facts(word: str) -> tuple:
+    """(lower case, syllables, length, rare, connective, opens a clause, three syllables or more) of a word."""
+    w, y = word.lower(), syllables(word.lower())
+    connects = w in CONNECTIVES
+    return w, y, len(w), len(w) >= 9 or y >= 4, connects, connects or w in SUBORDINATORS, y >= 3
+
+
 def measure(sents: list[list[str]]) -> list[float]:
     """The features of a text of at least one word, see FEATURES."""
-    words = [w.lower() for s in sents for w in s]
+    words, syl, sizes, rare, connects, opens, long = zip(*[_facts(w) for s in sents for w in s], strict=True)
     n, k = len(words), len(sents)
-    syl = [syllables(w) for w in words]
     # Diversity over windows of 50 words, so that it doesn't fall with length.
     spans = [words[i : i + 50] for i in range(0, max(1, n - 49), 25)]
     diversity = sum(len(set(s)) / len(s) for s in spans) / len(spans)
-    # Rarity without a corpus: share of words that are long and derived, which are rare in any graded word list.
-    rarity = sum(1 for w, y in zip(words, syl, strict=True) if len(w) >= 9 or y >= 4) / n
-    connect = sum(1 for w in words if w in CONNECTIVES) / n
-    depth = sum(1 for w in words if w in SUBORDINATORS or w in CONNECTIVES or (w.endswith("ing") and len(w) > 5)) / k
-    return [diversity, rarity, connect * 10, math.log1p(depth), sum(map(len, words)) / n, math.log(n / k), sum(syl) / n, sum(1 for y in syl if y >= 3) / n]
+    # Rarity without a corpus: the share of words that are long and derived, which are rare in any graded word list.
+    return [diversity, sum(rare) / n, sum(connects) / n * 10, math.log1p(sum(opens) / k), sum(sizes) / n, math.log(n / k), sum(syl) / n, sum(long) / n]
 
 
 def flesch_kincaid(sents: list[list[str]]) -> float:

@@ -29,6 +29,13 @@ def test_what_is_prose():
     assert s == [["We", "saw", "it", "eg", "the", "one", "on", "at", "ms"], ["Build", "is", "fixed"]]
 
 
+def test_capitals_are_prose_where_all_is_in_capitals():
+    text = "THE GRAPH OF THE QUEUE IS FLAT. IT WAS SLOW\nBEFORE THAT.\n\nERROR POOL_EXHAUSTED HX-STORE 17\nFATAL\nTODO\n"
+    assert paragraphs(text) == ["THE GRAPH OF THE QUEUE IS FLAT. IT WAS SLOW BEFORE THAT."]
+    low, high = sentences(COLLEGE), sentences(COLLEGE.upper())
+    assert [[w.lower() for w in s] for s in low] == [[w.lower() for w in s] for s in high] and rl.measure(low) == rl.measure(high)
+
+
 def test_language_and_syllables():
     assert is_english("the graph of the queue is flat and it was slow".split())
     assert not is_english("le service ne répondait plus et la file était pleine dans la nuit".split())
