@@ -83,6 +83,12 @@ def contingency(paired: DataFrame) -> DataFrame:
     return paired.agg(n(True, True).alias("n11"), n(True, False).alias("n10"), n(False, True).alias("n01"), n(False, False).alias("n00"), F.round(F.exp(F.avg(F.log1p("a") - F.log1p("b"))), 9).alias("geometric_ratio"))
 
 
+def geometric_ratio(paired: DataFrame) -> DataFrame:
+    """(n, mean_log, ratio): the geometric mean of a / b, over the pairs where both are above 0 (run times, for example)."""
+    log = F.avg(F.log("a") - F.log("b"))
+    return paired.where("a > 0 and b > 0").agg(F.count("*").alias("n"), F.round(log, 9).alias("mean_log"), F.round(F.exp(log), 9).alias("ratio"))
+
+
 def family_consistency(paired: DataFrame, family: DataFrame) -> DataFrame:
     """(outcome, families): families whose mean got better, worse or stayed."""
     f = paired.join(family, "case_id").groupBy("family").agg(F.round(F.avg(F.col("a") - F.col("b")), 12).alias("d"))

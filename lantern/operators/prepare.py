@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lantern.blocks import running
+
 #: What a log line says when a service was changed.
 CHANGES = ("deploy", "restarting", "configuration changed", "started container")
 
@@ -92,3 +94,12 @@ def cross_checked(index: DataFrame, scalars: DataFrame, column: str) -> DataFram
     off = F.col("scalar").isNotNull() & ~F.col("scalar").eqNullSafe(F.col(column))
     stop = F.raise_error(F.concat(F.lit(f"{column} differs from its file: "), F.col("case_id"))).cast(index.schema[column].dataType)
     return joined.withColumn(column, F.when(off, stop).otherwise(F.col(column))).select(*index.columns)
+
+
+def ordered_index(df: DataFrame, keys: Sequence[str], time: str, ordinal: str) -> DataFrame:
+    """``df`` and ``obs_idx``, the 0-based place of a row in its group by time; rows of the same time keep the order of ``ordinal``.
+
+    Rows are numbered by ranges of (group, time), so a group of any size is spread over tasks.
+    """
+    placed = running(df, keys, [F.col(time).asc_nulls_first(), F.col(ordinal).asc_nulls_first()])
+    return placed.withColumn("obs_idx", (F.col("_pos") - 1).cast("bigint")).drop("_pos", "_sum")

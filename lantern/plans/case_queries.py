@@ -139,6 +139,12 @@ def regraded(s: SparkSession, d: str) -> DataFrame:
     return evaluation.graded(notes, names, own)
 
 
+def observed(s: SparkSession, d: str) -> DataFrame:
+    """The place of every order among those of its customer, by day and number."""
+    o = table(s, d, "orders", ["o_custkey", "o_orderdate", "o_orderkey"])
+    return prepare.ordered_index(o, ["o_custkey"], "o_orderdate", "o_orderkey").select("o_orderkey", "obs_idx")
+
+
 def texts(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "candidate_evidence_profile", ["profile_id", "entity", "anomalous_metrics", "novel_log_templates"])
     return prepare.query_text(p, "profile_id", ["entity", "anomalous_metrics", "novel_log_templates"]).distinct()
@@ -152,6 +158,7 @@ QUERIES = {
     "first_listing": lambda s, d: prepare.ordered_unique(table(s, d, "manifest_case", ["case_id", "listed_at", "dataset", "system"]), ["case_id"], ["listed_at", "dataset", "system"]),
     "prohibited_tokens": lambda s, d: table(s, d, "documents", ["text"]).select(F.explode(prepare.violations(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
     "query_text": texts,
+    "observation_index": observed,
     "rank_simple_rca": alerted,
     "rank_hypothesis": residual_rank,
     "rank_crv": relief_rank,
@@ -189,6 +196,7 @@ ORACLES = {
     "first_listing": "SELECT case_id, listed_at, dataset, system FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY listed_at NULLS FIRST, dataset NULLS FIRST, system NULLS FIRST) AS r FROM manifest_case) WHERE r = 1",
     "prohibited_tokens": "SELECT token, count(*) AS n FROM documents, (SELECT unnest([" + ", ".join(f"'{t}'" for t in prepare.PROHIBITED) + "]) AS token) WHERE contains(lower(text), token) GROUP BY ALL",
     "query_text": "SELECT DISTINCT profile_id, array_to_string(list_filter(list_concat([entity], anomalous_metrics, novel_log_templates), lambda x: trim(coalesce(x, '')) <> ''), ' ') AS query FROM candidate_evidence_profile",
+    "observation_index": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS obs_idx FROM orders",
     "rank_simple_rca": f"""WITH {tq.METRICS}, {tq.SPANS}, {_LOGS},
 per AS (SELECT case_id, entity, metric, avg(value) FILTER (ts < {tq.CUTOFF}) AS mu, stddev_pop(value) FILTER (ts < {tq.CUTOFF}) AS sd, max(value) FILTER (ts BETWEEN {tq.CUTOFF} AND {tq.CUTOFF + 86400}) AS top FROM metrics GROUP BY ALL),
 p AS (SELECT case_id, service AS entity, quantile_cont(CAST(duration_us AS DOUBLE), 0.95) FILTER (start_us < {tq.CUTOFF}000000) AS a, quantile_cont(CAST(duration_us AS DOUBLE), 0.95) FILTER (start_us BETWEEN {tq.CUTOFF}000000 AND {tq.CUTOFF + 86400}000000) AS b FROM spans GROUP BY ALL),

@@ -87,6 +87,12 @@ def pairwise(s: SparkSession, d: str) -> DataFrame:
 
 
 def rollup(s: SparkSession, d: str) -> DataFrame:
+    """Detection outcomes over all cases, by outcome and by case."""
+    measures = {"cases": F.count("*"), "detected": F.count("t_detect"), "latency_s": F.round(F.avg("latency_s"), 6), "far": F.round(F.avg("far"), 9)}
+    return evaluation.rollup(outcome(s, d), ["outcome", "case_id"], measures)
+
+
+def ranking_rollup(s: SparkSession, d: str) -> DataFrame:
     measures = {"cases": F.count("*"), "mrr": F.round(F.avg("reciprocal_rank"), 9), "top_1": F.sum("top_1")}
     return evaluation.rollup(with_fault(s, d).where("method = 'fusion'"), ["suite", "system", "fault"], measures)
 
@@ -109,6 +115,8 @@ QUERIES = {
     "method_aggregate": lambda s, d: evaluation.method_aggregate(metrics(s, d)),
     "detection_outcome": outcome,
     "detection_rollup": rollup,
+    "ranking_rollup": ranking_rollup,
+    "geometric_ratio": lambda s, d: evaluation.geometric_ratio(paired(s, d)),
     "top_metrics": lambda s, d: evaluation.top_metrics(detect.metric_summary(tq.points(s, d)).withColumn("peak_score", F.round("peak_score", 6))),
     "oracle_headroom": lambda s, d: evaluation.headroom(with_fault(s, d), "fault"),
     "contingency": lambda s, d: evaluation.contingency(paired(s, d, "top_1")),
@@ -142,18 +150,23 @@ paired AS (SELECT case_id, max(reciprocal_rank) FILTER (method = 'pairwise') AS
 
 _SQUEEZE = ", ".join(f"CASE WHEN {f} IS NULL OR NOT isfinite({f}) THEN 0 ELSE round({f} / (1 + abs({f})), 9) END AS {f}" for f in FEATURES)
 
-ORACLES = {
-    "case_metrics": f"WITH {EVAL} SELECT * REPLACE (round(reciprocal_rank, 9) AS reciprocal_rank) FROM metrics",
-    "method_aggregate": f"WITH {EVAL} SELECT method, count(*) AS cases, {', '.join(f'round(avg(top_{k}), 9) AS ac_{k}' for k in range(1, 6))}, round(avg((top_1 + top_2 + top_3) / 3.0), 9) AS avg_3, round(avg((top_1 + top_2 + top_3 + top_4 + top_5) / 5.0), 9) AS avg_5, round(avg(reciprocal_rank), 9) AS mrr, round(avg(CASE WHEN first IS NULL THEN 1 ELSE 0 END), 9) AS missing_rate FROM metrics GROUP BY ALL",
-    "detection_outcome": f"""WITH {tq.STREAKS},
+_OUTCOME = f"""WITH {tq.STREAKS},
 al AS (SELECT case_id, ts, count(*) FILTER (streak >= 1) >= 6 AS alarm FROM streaks GROUP BY ALL),
 st AS (SELECT case_id, ts, bool_or(status IN ('normal', 'anomaly')) AS ok FROM points GROUP BY ALL),
 j AS (SELECT *, ts < {tq.CUTOFF} AS pre FROM st JOIN al USING (case_id, ts)),
 g AS (SELECT case_id, count(*) FILTER (pre AND ok) AS pre_steps, count(*) FILTER (pre AND NOT ok) AS pre_missing, count(*) FILTER (pre AND ok AND alarm) AS pa, min(ts) FILTER (pre AND ok AND alarm) AS first_pre_alarm_ts,
   count(*) FILTER (NOT pre AND ok) AS ps, count(*) FILTER (NOT pre AND ok AND alarm) AS pp, min(ts) FILTER (NOT pre AND ok AND alarm) AS t_detect FROM j GROUP BY ALL)
 SELECT case_id, first_pre_alarm_ts, t_detect, t_detect - {tq.CUTOFF} AS latency_s, round(coalesce(pa / CAST(nullif(pre_steps, 0) AS DOUBLE), 0), 9) AS far, round(coalesce(pp / CAST(nullif(ps, 0) AS DOUBLE), 0), 9) AS density, pre_steps, pre_missing,
-  CASE WHEN t_detect IS NOT NULL THEN CASE WHEN first_pre_alarm_ts IS NULL THEN 'clean_detection' ELSE 'noisy_detection' END WHEN first_pre_alarm_ts IS NOT NULL THEN 'early_alarm_only' ELSE 'complete_miss' END AS outcome FROM g""",
-    "detection_rollup": f"""WITH {EVAL}, f AS (SELECT m.*, coalesce(suite, 'unknown') AS suite, coalesce(system, 'unknown') AS system, coalesce(fault, 'unknown') AS fault FROM metrics m JOIN cases USING (case_id) WHERE method = 'fusion')
+  CASE WHEN t_detect IS NOT NULL THEN CASE WHEN first_pre_alarm_ts IS NULL THEN 'clean_detection' ELSE 'noisy_detection' END WHEN first_pre_alarm_ts IS NOT NULL THEN 'early_alarm_only' ELSE 'complete_miss' END AS outcome FROM g"""
+
+ORACLES = {
+    "detection_rollup": f"""SELECT CASE WHEN grouping(case_id) = 0 THEN 'case_id' WHEN grouping(outcome) = 0 THEN 'outcome' ELSE 'overall' END AS level, coalesce(outcome, case_id, 'all') AS value, count(*) AS cases, count(t_detect) AS detected, round(avg(latency_s), 6) AS latency_s, round(avg(far), 9) AS far
+FROM ({_OUTCOME}) GROUP BY GROUPING SETS ((), (outcome), (case_id))""",
+    "geometric_ratio": f"WITH {EVAL} SELECT count(*) AS n, round(avg(ln(a) - ln(b)), 9) AS mean_log, round(exp(avg(ln(a) - ln(b))), 9) AS ratio FROM paired WHERE a > 0 AND b > 0",
+    "case_metrics": f"WITH {EVAL} SELECT * REPLACE (round(reciprocal_rank, 9) AS reciprocal_rank) FROM metrics",
+    "method_aggregate": f"WITH {EVAL} SELECT method, count(*) AS cases, {', '.join(f'round(avg(top_{k}), 9) AS ac_{k}' for k in range(1, 6))}, round(avg((top_1 + top_2 + top_3) / 3.0), 9) AS avg_3, round(avg((top_1 + top_2 + top_3 + top_4 + top_5) / 5.0), 9) AS avg_5, round(avg(reciprocal_rank), 9) AS mrr, round(avg(CASE WHEN first IS NULL THEN 1 ELSE 0 END), 9) AS missing_rate FROM metrics GROUP BY ALL",
+    "detection_outcome": _OUTCOME,
+    "ranking_rollup": f"""WITH {EVAL}, f AS (SELECT m.*, coalesce(suite, 'unknown') AS suite, coalesce(system, 'unknown') AS system, coalesce(fault, 'unknown') AS fault FROM metrics m JOIN cases USING (case_id) WHERE method = 'fusion')
 SELECT CASE WHEN grouping(fault) = 0 THEN 'fault' WHEN grouping(system) = 0 THEN 'system' WHEN grouping(suite) = 0 THEN 'suite' ELSE 'overall' END AS level, coalesce(suite, system, fault, 'all') AS value, count(*) AS cases, round(avg(reciprocal_rank), 9) AS mrr, CAST(sum(top_1) AS BIGINT) AS top_1
 FROM f GROUP BY GROUPING SETS ((), (suite), (system), (fault))""",
     "top_metrics": f"WITH {tq.POINTS}, s AS (SELECT case_id, metric, round(max(abs(score)), 6) AS peak, count(*) FILTER (is_anomaly) AS n FROM points GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY coalesce(peak, 0) DESC, n DESC, metric) AS INTEGER) AS place FROM s) SELECT case_id, metric, place FROM r WHERE place <= 5 AND (peak > 0 OR n > 0)",

@@ -71,8 +71,12 @@ def raw(s: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_audit(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "documents", ["doc_id", "text", "source"])
-    return t.groupBy(F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("category")).agg(F.count("*").alias("documents"), (F.count("doc_id") - F.count_distinct("doc_id")).alias("repeated_ids"), (F.count("text") - F.count_distinct("text")).alias("repeated_texts"), F.count_if(F.coalesce("text", F.lit("")).rlike(r"^[ \t\r\n]*$")).alias("empty_texts"))
+    """Per category: documents, repeated ids and texts, empty texts, and documents whose provenance (title, service, version) has gaps."""
+    t = table(s, d, "documents", ["doc_id", "text", "source", "title", "metadata"])
+    gap = F.lit(False)
+    for c in (F.col("title"), F.col("metadata")["service"], F.col("metadata")["version"]):
+        gap = gap | (F.coalesce(c, F.lit("")) == "")
+    return t.groupBy(F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("category")).agg(F.count("*").alias("documents"), (F.count("doc_id") - F.count_distinct("doc_id")).alias("repeated_ids"), (F.count("text") - F.count_distinct("text")).alias("repeated_texts"), F.count_if(F.coalesce("text", F.lit("")).rlike(r"^[ \t\r\n]*$")).alias("empty_texts"), F.count_if(gap).alias("provenance_gaps"))
 
 
 def log_errors(s: SparkSession, d: str) -> DataFrame:
@@ -99,7 +103,7 @@ QUERIES = {
     "hybrid_boosted": hybrid,
     "ir_metrics": lambda s, d: r.quality(bm25(s, d), relevance(s, d)),
     "dedup_hash": lambda s, d: r.first_of_equal(raw(s, d), "text", "doc"),
-    "chunk_flags": lambda s, d: r.flags(raw(s, d)),
+    "chunk_flags": lambda s, d: r.flags(raw(s, d)).withColumn("commands", F.array_join("commands", "|")),
     "chunks": lambda s, d: r.chunks(raw(s, d)).groupBy("doc").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest")),
     "sections": lambda s, d: r.sections(raw(s, d)),
     "citation_check": citations,
@@ -157,11 +161,18 @@ b AS (SELECT f.query, f.doc, base, round(f.score * (CASE WHEN contains(d.categor
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, base ORDER BY score DESC, doc) AS r FROM b) WHERE r <= 2)
 SELECT query, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM c) WHERE rank <= 5""",
     "ir_metrics": f"""WITH {BM25}, rel AS (SELECT q.query, d.doc, CASE WHEN d.category = q.category THEN 2 ELSE 1 END AS grade FROM docs d JOIN queries q ON d.service = q.service WHERE q.service <> ''),
-ideal AS (SELECT query, count(*) AS n, sum(grade / log2(i + 1)) FILTER (i <= 5) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS i FROM rel) GROUP BY ALL),
-hits AS (SELECT b.query, min(rank) AS first, sum(grade / log2(rank + 1)) FILTER (rank <= 5) AS dcg, count(*) FILTER (rank <= 20) AS got FROM bm25 b JOIN rel USING (query, doc) GROUP BY ALL)
-SELECT i.query, {', '.join(f'CAST(coalesce(first <= {k}, false) AS INTEGER) AS hit_{k}' for k in (1, 3, 5, 20))}, round(coalesce(1 / CAST(first AS DOUBLE), 0), 9) AS mrr, round(coalesce(dcg / idcg, 0), 9) AS ndcg_5, round(coalesce(got / CAST(n AS DOUBLE), 0), 9) AS recall_20 FROM ideal i LEFT JOIN hits USING (query)""",
+ideal AS (SELECT query, count(*) AS n, max(grade) AS most, sum(grade / log2(i + 1)) FILTER (i <= 5) AS idcg, sum(1 / log2(i + 1)) FILTER (i <= 5) AS ones FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS i FROM rel) GROUP BY ALL),
+hits AS (SELECT b.query, min(rank) AS first, sum(grade / log2(rank + 1)) FILTER (rank <= 5) AS dcg, sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= 5) AS dcg2, count(*) FILTER (rank <= 5) AS got5, count(*) FILTER (rank <= 20) AS got FROM bm25 b JOIN rel USING (query, doc) GROUP BY ALL)
+SELECT i.query, {', '.join(f'CAST(coalesce(first <= {k}, false) AS INTEGER) AS hit_{k}' for k in (1, 3, 5, 20))}, round(coalesce(1 / CAST(first AS DOUBLE), 0), 9) AS mrr, CASE WHEN most > 1 THEN round(coalesce(dcg / idcg, 0), 9) END AS ndcg_5, round(coalesce(got / CAST(n AS DOUBLE), 0), 9) AS recall_20, round(coalesce(got5 / 5.0, 0), 9) AS precision_5, round(coalesce(dcg2 / ones, 0), 9) AS ndcg_exp_5 FROM ideal i LEFT JOIN hits USING (query)""",
     "dedup_hash": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT NULL, doc_id, 1 FROM documents WHERE text IS NULL",
-    "chunk_flags": f"SELECT doc_id AS doc, coalesce(regexp_matches(text, '{_PRE}'), false) AS has_prerequisites, coalesce(regexp_matches(text, '{_VER}'), false) AS has_verification, coalesce(regexp_matches(text, '{_ROLL}'), false) AS has_rollback, CAST(coalesce(len(regexp_extract_all(text, '(?s)```(?:bash|sh|shell|console|promql)?\\n(.*?)```')), 0) AS INTEGER) AS command_blocks FROM documents",
+    "snippets": "SELECT doc_id AS doc, CASE WHEN length(text) > 360 THEN rtrim(left(text, 357)) || '...' ELSE text END AS snippet FROM documents",
+    "sections": r"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+h AS (SELECT *, regexp_matches(line, '^#{1,6}[ \t]+[^ \t\r\n]') AS head FROM l),
+g AS (SELECT *, CAST(sum(head::INT) OVER (PARTITION BY doc ORDER BY i) AS INTEGER) AS ordinal FROM h),
+s AS (SELECT doc, ordinal, max(line) FILTER (head) AS head, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '') AS body FROM g GROUP BY ALL)
+SELECT doc, ordinal, CASE WHEN head IS NULL THEN 'Document overview' ELSE trim(regexp_replace(regexp_replace(regexp_extract(head, '^#{1,6}[ \t]+([^ \t\r\n].*)', 1), '[`*_]', '', 'g'), '[ \t\r]+$', '')) END AS heading,
+  CAST(length(regexp_replace(body, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')) AS INTEGER) AS characters FROM s WHERE length(regexp_replace(body, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')) >= 80""",
+    "chunk_flags": f"SELECT doc_id AS doc, coalesce(regexp_matches(text, '{_PRE}'), false) AS has_prerequisites, coalesce(regexp_matches(text, '{_VER}'), false) AS has_verification, coalesce(regexp_matches(text, '{_ROLL}'), false) AS has_rollback, CAST(coalesce(len(regexp_extract_all(text, '(?s)```(?:bash|sh|shell|console|promql)?\\n(.*?)```')), 0) AS INTEGER) AS command_blocks, coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(text, '(?s)```(?:bash|sh|shell|console|promql)?\n(.*?)```', 1), lambda c: regexp_replace(c, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')), lambda c: c <> '')[1:3], '|'), '') AS commands FROM documents",
     "citation_check": r"""WITH t AS (SELECT doc_id, text, case_id FROM documents),
 got AS (SELECT case_id, CAST(doc_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY case_id ORDER BY doc_id) AS rank FROM t WHERE case_id IS NOT NULL),
 allowed AS (SELECT case_id, doc AS tag FROM got UNION SELECT case_id, CAST(rank AS VARCHAR) FROM got),
@@ -171,7 +182,7 @@ seen AS (SELECT g.answer, count(*) AS claimed, count(a.tag) AS valid FROM tags g
 SELECT answer, coalesce(claimed, 0) AS claimed, coalesce(valid, 0) AS valid, round(CASE WHEN claimed > 0 THEN valid / CAST(claimed AS DOUBLE) ELSE 1 END, 9) AS rate FROM ans LEFT JOIN seen USING (answer)""",
     "context_budget": f"WITH {BM25}, c AS (SELECT query, rank, least(length(text), 600) AS c FROM bm25 JOIN docs USING (doc)), r AS (SELECT *, sum(c) OVER (PARTITION BY query ORDER BY rank) AS run FROM c) SELECT query, count(*) AS included, CAST(sum(c) AS BIGINT) AS characters FROM r WHERE run <= 3500 OR rank = 1 GROUP BY ALL",
     "incident_category": "SELECT CASE WHEN lower(title) LIKE '%cpu%' THEN 'cpu' WHEN regexp_matches(lower(title), 'mem|memory|oom') THEN 'memory' WHEN regexp_matches(lower(title), 'disk|storage') THEN 'disk' WHEN regexp_matches(lower(title), 'delay|latency|timeout|loss|socket') THEN 'networking' WHEN regexp_matches(lower(title), 'grpc|status') THEN 'grpc' ELSE 'service-health' END AS category, count(*) AS n FROM documents GROUP BY ALL",
-    "corpus_audit": "SELECT coalesce(lower(trim(source)), 'unknown') AS category, count(*) AS documents, count(doc_id) - count(DISTINCT doc_id) AS repeated_ids, count(text) - count(DISTINCT text) AS repeated_texts, count(*) FILTER (regexp_matches(coalesce(text, ''), '^[ \t\r\n]*$')) AS empty_texts FROM documents GROUP BY ALL",
+    "corpus_audit": "SELECT coalesce(lower(trim(source)), 'unknown') AS category, count(*) AS documents, count(doc_id) - count(DISTINCT doc_id) AS repeated_ids, count(text) - count(DISTINCT text) AS repeated_texts, count(*) FILTER (regexp_matches(coalesce(text, ''), '^[ \t\r\n]*$')) AS empty_texts, count(*) FILTER (coalesce(title, '') = '' OR coalesce(metadata['service'], '') = '' OR coalesce(metadata['version'], '') = '') AS provenance_gaps FROM documents GROUP BY ALL",
     "log_error_counts": "SELECT lower(trim(source)) AS container, count(*) AS errors FROM documents WHERE regexp_matches(lower(text), 'error|fail|exception') GROUP BY ALL",
     "log_scores": r"""WITH l AS (SELECT coalesce(lower(trim(source)), '') AS container, doc_id AS t, coalesce(text, '') AS m FROM documents), o AS (SELECT floor((min(t) + max(t)) / 2.0) AS onset FROM l),
 x AS (SELECT container, t >= onset AS inc, regexp_replace(left(m, 80), '[0-9]+', '<*>', 'g') AS tpl,

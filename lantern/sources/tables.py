@@ -67,6 +67,15 @@ def write_report(df: DataFrame, path: str, version: str) -> None:
     df.withColumn("report_version", F.lit(version)).write.mode("overwrite").json(path)
 
 
+def read_report(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """What :func:`write_report` wrote, without the version; lines of another version are an error when read."""
+    raw = spark.read.json(path)
+    if "report_version" not in raw.columns:
+        raise ValueError(f"{path} has no report_version")
+    bad = F.raise_error(F.concat(F.lit("report of version "), F.coalesce("report_version", F.lit("null")))).cast("boolean")
+    return raw.where(F.when(F.col("report_version").eqNullSafe(version), True).otherwise(bad)).drop("report_version")
+
+
 def feature_cache(df: DataFrame, path: str, key: str = "case_id") -> DataFrame:
     """Features kept as Parquet by case, so that one case is read by partition pruning."""
     df.write.mode("overwrite").partitionBy(key).parquet(path)
@@ -74,6 +83,22 @@ def feature_cache(df: DataFrame, path: str, key: str = "case_id") -> DataFrame:
 
 
 def embedding_key(df: DataFrame, id_col: str) -> DataFrame:
-    """One row with the hash that names a set of vectors: that of its ids' hashes, in any order of rows."""
-    each = df.select(F.sha2(F.col(id_col).cast("string"), 256).alias("h"))
-    return each.agg(F.bit_xor(F.xxhash64("h")).alias("x"), F.count("*").alias("n")).select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("x").cast("string")), 256).alias("cache_key"))
+    """One row with the hash that names a set of vectors: that of the sum and the exclusive or of its ids' hashes, in any order of rows."""
+    h = F.sha2(F.col(id_col).cast("string"), 256)
+    each = df.select(*[F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"h{i}") for i in (0, 1)])
+    made = each.agg(F.count("*").alias("n"), F.sum(F.col("h0").cast("decimal(38,0)")).alias("s"), F.bit_xor("h1").alias("x"))
+    return made.select(F.sha2(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("n", "s", "x")]), 256).alias("cache_key"))
+
+
+def cached_vectors(df: DataFrame, id_col: str, folder: str) -> DataFrame:
+    """``df`` as Parquet below ``folder``, under the key of its ids; a set that is there already is read and not made again."""
+    spark = df.sparkSession
+    path = f"{folder.rstrip('/')}/{embedding_key(df, id_col).first()[0]}"
+    schema = df.schema
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)

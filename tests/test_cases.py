@@ -204,3 +204,48 @@ def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
     hour = lambda h: 1704067200 + 3600 * h
     # The row of 00:20 comes a batch after the watermark has passed 03:00; the window of 20:00 isn't closed yet.
     assert got == {hour(0): 1, hour(5): 1, hour(9): 1}
+
+
+def test_sections_and_commands(spark):
+    long = "words " * 20
+    text = long + "\n## The `first` *one*  \n" + long + "\n#no heading\n### Short\nx\n```bash\n ls \n```\n```\n\n```\n```sh\na\nb\n```"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc int, text string")
+    assert [(r.doc, r.ordinal, r.heading) for r in retrieval.sections(df).collect()] == [(1, 0, "Document overview"), (1, 1, "The first one")]
+    got = {r.doc: (r.command_blocks, r.commands) for r in retrieval.flags(df).collect()}
+    assert got == {1: (3, ["ls", "a\nb"]), 2: (0, []), 3: (0, [])}
+    assert retrieval.chunks(spark.createDataFrame([(1, "too short")], "doc int, text string")).count() == 0
+
+
+def test_linear_gain_needs_a_high_grade(spark):
+    ranks = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 7, 1)], "query int, doc int, rank int")
+    rel = spark.createDataFrame([(1, 8, 2), (1, 9, 1), (2, 7, 1)], "query int, doc int, grade int")
+    got = {r.query: r for r in retrieval.quality(ranks, rel).collect()}
+    d = 1 / np.log2(3)
+    assert got[1].ndcg_5 == pytest.approx(2 * d / (2 + d), abs=1e-8) and got[1].ndcg_exp_5 == pytest.approx(3 * d / (1 + d), abs=1e-8) and got[1].precision_5 == 0.2
+    assert got[2].ndcg_5 is None and got[2].ndcg_exp_5 == 1.0
+
+
+def test_vector_cache_and_reports(spark, tmp_path):
+    from lantern.sources import tables
+
+    df = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, 1.0)], "id int, v double")
+    keys = {tables.embedding_key(x, "id").first().cache_key for x in (df, df.where("id = 2"), df.limit(0), df.where("id = 1"))}
+    assert len(keys) == 4  # equal ids don't cancel out
+    a = tables.cached_vectors(df, "id", str(tmp_path / "c"))
+    other = df.withColumn("v", F.col("v") + 1)
+    assert a.count() == 3 and sorted(r.v for r in tables.cached_vectors(other, "id", str(tmp_path / "c")).collect()) == [0.5, 0.5, 1.0]
+    tables.write_report(df, str(tmp_path / "r"), "2")
+    assert tables.read_report(spark, str(tmp_path / "r"), "2").count() == 3
+    with pytest.raises(Exception, match="report of version 2"):
+        tables.read_report(spark, str(tmp_path / "r"), "3").collect()
+
+
+def test_index_ratio_and_keys(spark, rows):
+    from lantern.functions import scalars
+
+    df = spark.createDataFrame([("a", 5, 2), ("a", 5, 1), ("a", None, 3), ("b", 1, 1)], "k string, t int, o int")
+    assert rows(prepare.ordered_index(df, ["k"], "t", "o"), "k", "o", "obs_idx") == [("a", 1, 1), ("a", 2, 2), ("a", 3, 0), ("b", 1, 0)]
+    pairs = spark.createDataFrame([("x", 4.0, 1.0), ("y", 1.0, 1.0), ("z", 0.0, 1.0)], "case_id string, a double, b double")
+    assert tuple(evaluation.geometric_ratio(pairs).first())[::2] == (2, 2.0)
+    m = spark.createDataFrame([({"b": "2"},), ({"a": "1", "b": "2"},), (None,)], "m map<string,string>")
+    assert [r.v for r in m.select(scalars.first_of(F.col("m"), "a", "b").alias("v")).collect()] == ["2", "1", None]

@@ -167,7 +167,8 @@ def test_ranking_quality(spark):
     ranks = spark.createDataFrame([(1, d, d) for d in range(1, 6)], "query bigint, doc bigint, rank int")
     rel = spark.createDataFrame([(1, 1, 1), (1, 7, 1), (1, 8, 1), (1, 9, 1), (1, 10, 1)], "query bigint, doc bigint, grade int")
     got = retrieval.quality(ranks, rel).first()
-    assert (got.hit_1, got.mrr) == (1, 1.0) and abs(got.ndcg_5 - 1 / 2.9484591188793923) < 1e-8 and got.recall_20 == 0.2
+    assert (got.hit_1, got.mrr) == (1, 1.0) and abs(got.ndcg_exp_5 - 1 / 2.9484591188793923) < 1e-8 and got.recall_20 == got.precision_5 == 0.2
+    assert got.ndcg_5 is None  # linear gain needs a grade above 1
 
 
 def test_bm25_prefers_the_rare_word(spark):
