@@ -125,11 +125,11 @@ def _heavy(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
     sizes = df.groupBy("_group").agg(F.count("*").alias("_size"))
     same = F.col("l._group").eqNullSafe(F.col("d._group")) & (F.col("l._k") == F.col("d._k")) & F.col("l._v").eqNullSafe(F.col("d._v"))
     placed = long.alias("l").join(dense.alias("d"), same).select("l._group", "l._item", "l._k", "_i", "_upto")
-    spots = cut(placed.alias("a").join(sizes.alias("b"), F.col("a._group").eqNullSafe(F.col("b._group"))).select("a._group", "_item", "_k", "_i", "_size", (F.col("_size") - F.col("_upto") + 1).alias("_div")))
-    p = cut(df.alias("a").join(sizes.alias("b"), F.col("a._group").eqNullSafe(F.col("b._group"))).select("a._group", "_item", F.lit(1.0).alias("_p"), "_size"))
+    placed = placed.alias("a").join(sizes.alias("b"), F.col("a._group").eqNullSafe(F.col("b._group"))).select("a._group", "_item", "_size", F.struct("_k", "_i", (F.col("_size") - F.col("_upto") + 1).alias("_div")).alias("_spot"))
+    # A row is an item with its share and its place in every score, so a step moves nothing but shares to places and back.
+    p = cut(placed.groupBy("_group", "_item").agg(F.first("_size").alias("_size"), F.lit(1.0).alias("_p"), F.collect_list("_spot").alias("_spots")))
     for _ in range(steps):
-        q = p.select(F.col("_group").alias("_g"), F.col("_item").alias("_x"), "_p")
-        mass = spots.join(q, F.col("_group").eqNullSafe(F.col("_g")) & F.col("_item").eqNullSafe(F.col("_x"))).select("_group", "_item", "_k", "_i", "_size", "_p", (F.col("_p") / F.col("_div")).alias("_w"))
+        mass = p.select("_group", "_item", "_size", "_p", F.inline("_spots")).withColumn("_w", F.col("_p") / F.col("_div"))
         tied = mass.groupBy("_group", "_k", "_i").agg(F.sum("_w").alias("_w")).withColumn("_b", F.floor(F.col("_i") / block))
         blocks = tied.groupBy("_group", "_k", "_b").agg(F.sum("_w").alias("_bw"))
         before = Window.partitionBy("_group", "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,12 +138,12 @@ def _heavy(df: DataFrame, n_scores: int, damping: float, steps: int, tolerance:
         low = tied.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0.0))).join(start, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_k") == F.col("_kk")) & (F.col("_b") == F.col("_bb")))
         flow = low.select(F.col("_group").alias("_g"), F.col("_k").alias("_kk"), F.col("_i").alias("_ii"), (F.col("_in") + F.col("_base")).alias("_flow"))
         got = mass.join(flow, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_k") == F.col("_kk")) & (F.col("_i") == F.col("_ii")))
-        new = got.groupBy("_group", "_item").agg(F.sum(F.col("_flow") + F.col("_w")).alias("_t"), F.first("_size").alias("_size"), F.first("_p").alias("_old"))
-        step = cut(new.select("_group", "_item", ((1 - damping) + damping * F.col("_t") / n_scores).alias("_p"), "_size", "_old"))
-        p = step.select("_group", "_item", "_p", "_size")
+        new = got.groupBy("_group", "_item").agg(F.sum(F.col("_flow") + F.col("_w")).alias("_t"), F.first("_size").alias("_size"), F.first("_p").alias("_old"), F.collect_list(F.struct("_k", "_i", "_div")).alias("_spots"))
+        step = cut(new.select("_group", "_item", "_size", ((1 - damping) + damping * F.col("_t") / n_scores).alias("_p"), "_spots", "_old"))
+        p = step.drop("_old")
         if step.where(F.abs(F.col("_p") - F.col("_old")) >= tolerance).isEmpty():
             break
-    return p
+    return p.select("_group", "_item", "_p", "_size")
 
 
 def rank_walk(

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,3 +112,17 @@ def test_a_group_does_not_depend_on_its_neighbours():
         alone = rankwalk._stationary(np.zeros(n, int), np.array([n]), [c[at : at + n] for c in cols], 0.85, 300, 1e-12)
         assert (alone == together[at : at + n]).all()
         at += n
+
+
+def test_a_group_of_100_000_items_walks_as_the_arrays_do(spark):
+    """Beyond ``heavy_rows`` the same chain runs as DataFrames; its order is that of the arrays to the last place."""
+    n, rng = 100_000, np.random.default_rng(21)
+    a, b = rng.permutation(n).astype(float), np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 40_000, n).astype(float))
+    p = np.round(rankwalk._stationary(np.zeros(n, int), np.array([n]), [a, b], 0.85, 2, 0.0) * n, rankwalk.DIGITS)
+    df = spark.createDataFrame(pd.DataFrame({"g": "big", "item": [f"i{i:06d}" for i in range(n)], "a": a, "b": b})).repartition(8)
+    got = rankwalk.rank_walk(df, "g", "item", ["a", "b"], steps=2).toPandas().sort_values("place")
+    assert len(got) == n and (got["place"].to_numpy() == np.arange(1, n + 1)).all()
+    want = np.lexsort((np.arange(n), -p))
+    mine = got["item"].str[1:].astype(int).to_numpy()
+    assert np.abs(p[mine] - p[want]).max() < 2e-9
+    assert (mine == want).mean() > 0.999
