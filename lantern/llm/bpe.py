@@ -166,7 +166,8 @@ def _tables(path: str) -> Column:
     )
 
 
-def _cut_words(text: Column) -> Column:
+def cut_words(text: Column) -> Column:
+    """The words of a text by the vocabulary's pattern; together they are the text."""
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
@@ -208,7 +209,7 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
             starts = F.sequence(F.lit(1), F.size(ws), F.lit(BLOCK))
             return F.when(F.size(ws) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(starts, lambda i: block(F.slice(ws, i, BLOCK)))))
 
-        return _let(_cut_words(text), blocks)
+        return _let(cut_words(text), blocks)
 
     return F.when(text.isNull() | (text == ""), F.array().cast("array<int>")).otherwise(_let(_tables(path), whole))
 
@@ -229,11 +230,26 @@ def count(text: Column, path: str = VOCABULARY) -> Column:
             starts = F.sequence(F.lit(1), F.size(ws), F.lit(BLOCK))
             return F.when(F.size(ws) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(starts, F.lit(0).cast("bigint"), lambda a, i: a + block(F.slice(ws, i, BLOCK))))
 
-        return _let(_cut_words(text), blocks)
+        return _let(cut_words(text), blocks)
 
     return F.when(text.isNull() | (text == ""), F.lit(0).cast("bigint")).otherwise(_let(_tables(path), whole))
 
 
+def word_lengths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(word, tokens) of distinct pre-tokenised words: 1 for a token, else the length of its fold.
+
+    Words are few and folds are dear, so they are spread over all cores, however small they are.
+    """
+
+    def length(t: Column) -> Column:
+        w = F.col("word")
+        return _let(_known(t, F.array(w)), lambda ids: F.when(F.get(ids, F.lit(0)).isNotNull(), 1).otherwise(F.size(_folded(t, w))))
+
+    spark = words.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return words.select("word").distinct().repartition(tasks, "word").select("word", _let(_tables(path), length).cast("bigint").alias("tokens"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it has fewer splits than cores: a text costs far more to encode than to move."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -77,6 +77,19 @@ def token_sizes(documents: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     return rows.select("doc_id", clean_source(F.col("source")).alias("source"), clean_language(F.col("lang")).alias("lang"), bpe.count(F.col("text"), path).alias("tokens"))
 
 
+def leaf_sizes(documents: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
+    """(source, lang, tokens) of every leaf: the sums of :func:`token_sizes`, from the distinct words of the corpus.
+
+    Words are counted per leaf on the map side before anything moves, and each distinct word is encoded once.
+    """
+    rows = bpe.spread(documents.select("source", "lang", "text"))
+    leaf = rows.select(clean_source(F.col("source")).alias("source"), clean_language(F.col("lang")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    # The outer explode keeps leaves without any word.
+    words = cut(leaf.select("source", "lang", F.explode_outer(bpe.cut_words(F.col("text"))).alias("word")).groupBy("source", "lang", "word").agg(F.count("*").alias("n")))
+    told = bpe.word_lengths(words.where("word is not null"), path)
+    return words.join(told, "word", "left").groupBy("source", "lang").agg(F.coalesce(F.sum(F.col("n") * F.col("tokens")), F.lit(0)).alias("tokens"))
+
+
 def plan(sizes: DataFrame, targets: DataFrame, size: int | None = None, levels: Sequence[str] = (), evenness: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """(sources, leaves): what every source and every leaf (source, lang) contributes.
 

@@ -128,7 +128,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    sources, _ = mixture.plan(mixture.token_sizes(_t(spark, folder, "documents")), _t(spark, folder, "mix_target"))
+    sources, _ = mixture.plan(mixture.leaf_sizes(_t(spark, folder, "documents")), _t(spark, folder, "mix_target"))
     return sources.where("short").select("source")
 
 
@@ -144,7 +144,7 @@ def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return readinglevel.college(_t(spark, folder, "documents"))
+    return readinglevel.college(bpe.spread(_t(spark, folder, "documents").select("doc_id", "text")))
 
 
 def p8_levels(spark: SparkSession, folder: str) -> DataFrame:

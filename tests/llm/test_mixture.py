@@ -83,3 +83,11 @@ def test_levels_above_the_source(spark):
     sizes = spark.createDataFrame([(1, "big_source", "en", 900), (2, "small_source", "en", 10), (3, "other", "en", 900)], "doc_id bigint, source string, lang string, tokens bigint")
     got = {r.source: r.given for r in mixture.plan(sizes, targets, 1000, levels=["domain"])[0].collect()}
     assert got == pytest.approx({"big_source": 590, "small_source": 10, "other": 400})
+
+
+def test_leaves_by_distinct_words_are_the_sums_of_the_documents(spark):
+    odd = [(300 + i, "odd", "fr", t, "", "") for i, t in enumerate(["a   b\n\n c  ", "don't we'LL 'tx", "AbstractRetryInterceptorFactoryBean " * 9, "日本語 \u3000 x", "   ", "\t\n", "12345 %. <|endoftext|>"])]
+    d = docs(spark, [*odd, (400, "none", "en", None, "", "")])
+    want = {(r.source, r.lang): r.t for r in mixture.token_sizes(d).groupBy("source", "lang").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "t").collect()}
+    assert {(r.source, r.lang): r.tokens for r in mixture.leaf_sizes(d).collect()} == want
+    assert mixture.leaf_sizes(spark.createDataFrame([], DOC)).count() == 0
