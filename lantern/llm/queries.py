@@ -223,6 +223,17 @@ hit AS (SELECT caller_service, callee_service, measure, month, q, n, x, pow(2, f
        FROM m, (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS q) WHERE r = greatest(1, ceil(n * q)))
 SELECT caller_service, callee_service, measure, month, q, n, round(coalesce(floor(x / step) * step, 0.0), 9) AS low,
        round(coalesce((floor(x / step) + 1) * step, 0.0), 9) AS high FROM hit""",
+    # Every pair that shares a trigram, without any filter.
+    "p2_found": r"""
+WITH lab AS (SELECT DISTINCT record_id, regexp_replace(regexp_replace(lower(split), '[^\p{L}\p{N}]+', '_', 'g'), '^_|_$', '', 'g') AS s,
+    nullif(regexp_replace(regexp_replace(regexp_replace(lower(case_id), '[^\p{L}\p{N}]+', '-', 'g'), '^-|-$', '', 'g'), '(^|[^0-9])0+([0-9]+)$', '\1\2'), '') AS c, query FROM rag2_query_split WHERE record_id IS NOT NULL),
+r AS (SELECT record_id AS id, CASE WHEN s IN ('train', 'training') THEN 't' WHEN s IN ('val', 'validation', 'dev', 'test', 'final_test') THEN 'e' END AS side, c,
+    list_transform(regexp_extract_all(lower(query), '[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{N}]*'), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN regexp_replace(regexp_replace(w, '[.,][0-9]{1,2}$|[.][0-9]+$', ''), '[.,]', '', 'g') ELSE w END) AS w FROM lab),
+g AS (SELECT id, side, list_sort(w) AS bag, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM r WHERE len(w) > 0 AND side IS NOT NULL),
+u AS (SELECT id, side, len(g) AS n, unnest(g) AS x FROM g),
+near AS (SELECT a.id AS t, b.id AS e FROM u a JOIN u b ON a.x = b.x AND a.side = 't' AND b.side = 'e' GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * least(a.n, b.n) AND least(a.n, b.n) >= 0.5 * greatest(a.n, b.n)),
+all_ AS (SELECT t, e FROM near UNION SELECT a.id, b.id FROM g a JOIN g b ON a.bag = b.bag AND a.side = 't' AND b.side = 'e' UNION SELECT a.id, b.id FROM r a JOIN r b ON a.c = b.c AND a.side = 't' AND b.side = 'e')
+SELECT DISTINCT least(t, e) AS record_id_a, greatest(t, e) AS record_id_b FROM all_""",
     "p5_found": """
 WITH valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY listed_at DESC) AS rn FROM manifest_case) WHERE rn = 1),
 clean AS (
