@@ -22,6 +22,9 @@ PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Words of a text are handled in blocks of this size, so look-ups inside a block stay short in texts of any length.
 BLOCK = 512
 
+#: At most so many repeated words, of so many bytes at most, have their ids in the plan.
+MOST_KEPT, LONGEST_KEPT = 40_000, 64
+
 #: Primes: sizes of the two halves of the look-up tables, and multipliers that mix a pair of ids without overflow.
 P1, P2 = 65521, 65519
 M1, M2 = 2147483629, 1640531527
@@ -34,8 +37,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _two_homes(items: dict, spots) -> list:  # noqa: ANN001
-    """Cuckoo layout: every item lies in one of its two spots, so a look-up reads two cells and never walks."""
+def _two_homes(items: dict, spots, strict: bool = True) -> list:  # noqa: ANN001
+    """Cuckoo layout: every item lies in one of its two spots, so a look-up reads two cells and never walks.
+
+    What finds no place is an error, or left out where ``strict`` is false.
+    """
     table: list = [None] * (P1 + P2)
     for item in items:
         at, held = spots(item)[0], item
@@ -46,10 +52,16 @@ def _two_homes(items: dict, spots) -> list:  # noqa: ANN001
             a, b = spots(held)
             at = b if at == a else a
         else:
-            raise ValueError("the table is too full")
+            if strict:
+                raise ValueError("the table is too full")
     return table
 
 
+def _crc_spots(text: str) -> tuple[int, int]:
+    crc = zlib.crc32(text.encode("utf-8"))
+    return crc % P1, P1 + crc % P2
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str = VOCABULARY) -> dict:
     """bytes: id of each byte; pairs and words: the literal tables as JSON; pieces: the bytes of each id."""
@@ -72,10 +84,7 @@ def vocabulary(path: str = VOCABULARY) -> dict:
         except UnicodeDecodeError:  # part of a character, never a word
             pass
 
-    def crc(t: str) -> int:
-        return zlib.crc32(t.encode("utf-8"))
-
-    words = _two_homes(texts, lambda t: (crc(t) % P1, P1 + crc(t) % P2))
+    words = _two_homes(texts, _crc_spots)
     inverse = {b: i for i, b in raw.items()}
     return {
         "bytes": [inverse[bytes([b])] for b in range(256)],
@@ -156,13 +165,16 @@ def _byte_ids(table: Column, word: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: char(F.substring(word, i, F.lit(1)))))
 
 
-def _tables(path: str) -> Column:
+def _tables(path: str, kept: dict[str, list[int]] | None = None) -> Column:
     v = vocabulary(path)
+    cells = _two_homes(dict.fromkeys(kept or {}), _crc_spots, strict=False) if kept else []
     return F.struct(
         F.from_json(F.lit(v["pairs"]), "array<bigint>").alias("pairs"),
         F.from_json(F.lit(v["words"]), "array<string>").alias("words"),
         F.from_json(F.lit(v["word_ids"]), "array<int>").alias("ids"),
         F.from_json(F.lit(json.dumps(v["bytes"])), "array<bigint>").alias("bytes"),
+        F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<string>").alias("kept"),
+        F.from_json(F.lit(json.dumps([None if w is None else kept[w] for w in cells], separators=(",", ":"))), "array<array<int>>").alias("folds"),
     )
 
 
@@ -171,35 +183,42 @@ def cut_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def _known(t: Column, ws: Column) -> Column:
-    """The id of each word that is a token, null for any other."""
+def _cell(words: Column, values: Column, w: Column, crc: Column) -> Column:
+    """The value of a word in a table of two homes, null for a word that isn't in it."""
+    one, two = (crc % P1).cast("int"), (F.lit(P1) + crc % P2).cast("int")
+    return F.when(F.get(words, one) == w, F.get(values, one)).when(F.get(words, two) == w, F.get(values, two))
 
-    def look(w: Column, crc: Column) -> Column:
-        one, two = (crc % P1).cast("int"), (F.lit(P1) + crc % P2).cast("int")
-        return F.when(F.get(t["words"], one) == w, F.get(t["ids"], one)).when(F.get(t["words"], two) == w, F.get(t["ids"], two))
 
-    return F.zip_with(ws, F.transform(ws, lambda w: F.crc32(w.cast("binary"))), look)
+def _known(t: Column, ws: Column) -> Column:
+    """The id of each word that is a token, null for any other."""
+    return F.zip_with(ws, F.transform(ws, lambda w: F.crc32(w.cast("binary"))), lambda w, crc: _cell(t["words"], t["ids"], w, crc))
 
 
 def _folded(t: Column, w: Column) -> Column:
     return _let(_byte_ids(t["bytes"], w), lambda b: _fold(t["pairs"], b))
 
 
-def encode(text: Column, path: str = VOCABULARY) -> Column:
+def encode(text: Column, path: str = VOCABULARY, kept: dict[str, list[int]] | None = None) -> Column:
     """The token ids of a text, as array<int>; strings of special tokens are ordinary text.
 
     A null or empty text has an empty list.  Every code point is covered, since any byte is a token; text of any length is
-    encoded as a whole.
+    encoded as a whole.  ``kept`` are words whose ids are known already, see :func:`frequent_words`; any other word is folded,
+    so the ids are the same with and without.
     """
 
     def whole(t: Column) -> Column:
+        def ids_of(w: Column) -> Column:
+            if not kept:
+                return _folded(t, w)
+            return F.coalesce(_let(F.crc32(w.cast("binary")), lambda crc: _cell(t["kept"], t["folds"], w, crc)), _folded(t, w))
+
         def block(ws: Column) -> Column:
             def with_ids(ids: Column) -> Column:
                 def with_rest(rest: Column) -> Column:
                     def joined(parts: Column) -> Column:
                         return F.flatten(F.transform(ws, lambda w, i: F.when(F.get(ids, i).isNotNull(), F.array(F.get(ids, i))).otherwise(F.get(parts, (F.array_position(rest, w) - 1).cast("int")))))
 
-                    return F.when(F.size(rest) == 0, ids).otherwise(_let(F.transform(rest, lambda w: _folded(t, w)), joined))
+                    return F.when(F.size(rest) == 0, ids).otherwise(_let(F.transform(rest, ids_of), joined))
 
                 return _let(F.array_distinct(F.filter(ws, lambda w, i: F.get(ids, i).isNull())), with_rest)
 
@@ -211,7 +230,23 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
 
         return _let(cut_words(text), blocks)
 
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<int>")).otherwise(_let(_tables(path), whole))
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<int>")).otherwise(_let(_tables(path, kept), whole))
+
+
+def frequent_words(df: DataFrame, text: str, path: str = VOCABULARY, most: int = MOST_KEPT, longest: int = LONGEST_KEPT) -> dict[str, list[int]]:
+    """The ids of the words that the corpus repeats most and that aren't tokens: each is folded once, instead of once a text.
+
+    All texts are counted; what is kept has a fixed bound, ``most`` words of ``longest`` bytes, whatever the corpus, so it can be a literal of the
+    plan.  It changes how often a word is folded and never its ids.
+    """
+    spark = df.sparkSession
+    words = df.select(F.explode(cut_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= longest))
+    new = words.where(_let(_tables(path), lambda t: F.get(_known(t, F.array("word")), F.lit(0)).isNull()))
+    top = new.orderBy(F.desc("n"), F.asc("word")).limit(most)
+    # Few rows, each dear: over all cores.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folded = top.select("word").repartition(tasks, "word").select("word", _let(_tables(path), lambda t: _folded(t, F.col("word"))).alias("ids"))
+    return {r["word"]: list(r["ids"]) for r in folded.collect()}
 
 
 def count(text: Column, path: str = VOCABULARY) -> Column:
@@ -253,7 +288,7 @@ def word_lengths(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it has fewer splits than cores: a text costs far more to encode than to move."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def decode(ids: Column, path: str = VOCABULARY) -> Column:

@@ -124,7 +124,8 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.spread(_t(spark, folder, "documents").select("doc_id", "text")).select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    docs = bpe.spread(_t(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", bpe.encode(F.col("text"), kept=bpe.frequent_words(docs, "text")).alias("ids"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,3 +52,15 @@ def test_empty_table_and_null_ids(spark):
 def test_count_is_the_length(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").select(F.size(bpe.encode(F.col("text"))).alias("n"), bpe.count(F.col("text")).alias("m"))
     assert all(r.n == r.m for r in df.collect())
+
+
+def test_kept_words_change_no_ids(spark, reference):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, *TEXTS])], "i int, text string")
+    kept = bpe.frequent_words(df, "text")
+    assert kept and all(ids == reference.encode(w, add_special_tokens=False).ids for w, ids in kept.items()) and max(len(w.encode()) for w in kept) <= bpe.LONGEST_KEPT
+    few = bpe.frequent_words(df, "text", most=3)
+    assert len(few) == 3
+    for k in (kept, few, {}):
+        for r in df.select("text", bpe.encode(F.col("text"), kept=k).alias("ids")).collect():
+            assert r.ids == reference.encode(r.text or "", add_special_tokens=False).ids
+    assert bpe.frequent_words(df.limit(0), "text") == {}
