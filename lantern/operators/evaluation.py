@@ -277,3 +277,13 @@ def graded(annotations: DataFrame, query_names: DataFrame, doc_names: DataFrame)
     best = named.groupBy("query", "doc").agg(F.max("grade").alias("grade"))
     relevant = best.where("grade > 0").select("query").distinct()
     return best.join(relevant, "query", "left_semi")
+
+
+def leaked(cases: DataFrame, family: str, partition: str) -> DataFrame:
+    """(family, partitions, cases): families that lie in more than one partition, so what is tuned on one is known in the other.
+
+    A null family or partition leaks nothing.  The sets combine on the map side.
+    """
+    there = cases.where(F.col(family).isNotNull() & F.col(partition).isNotNull())
+    g = there.groupBy(F.col(family).alias("family")).agg(F.sort_array(F.collect_set(partition)).alias("partitions"), F.count("*").alias("cases"))
+    return g.where(F.size("partitions") > 1)

@@ -61,3 +61,25 @@ def rate_limit(events: DataFrame, key: str, time_us: str, seconds: int = 60, mos
     """Events with the number of the key's events in the seconds up to each, and whether that is within the limit."""
     w = Window.partitionBy(key).orderBy(time_us).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
+
+
+def tool_evidence(universe: DataFrame, evidence: DataFrame, elevation: DataFrame, logs: DataFrame, edges: DataFrame, error: str) -> DataFrame:
+    """(case_id, entity, tool, cost, value): what each kind of query would tell of every entity of the universe; nothing is 0.
+
+    metrics: most metrics anomalous at once; traces: latency elevation; logs: lines that tell of an error; neighbours: callers
+    and callees; health: 1 with an episode; change: lines that tell of a deployment or restart.  All kinds are made in one
+    pass each, so that a search only selects.  logs has case_id, container and message.
+    """
+    from lantern.operators.prepare import is_change
+    from lantern.operators.ranking import COSTS
+
+    said = logs.groupBy("case_id", F.col("container").alias("entity")).agg(F.count_if(F.col("message").rlike(error)).alias("logs"), F.count_if(is_change(F.col("message"))).alias("change"))
+    ends = edges.select("case_id", F.inline(F.array(F.struct(F.col("src").alias("entity"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("entity"), F.col("src").alias("other"))))).where("entity <> other")
+    near = ends.groupBy("case_id", "entity").agg(F.count_distinct("other").alias("neighbours"))
+    own = evidence.select("case_id", "entity", F.col("peak_active").alias("metrics"), F.col("has_episode").cast("int").alias("health"))
+    traced = elevation.select("case_id", "entity", F.col("score").alias("traces"))
+    full = universe.select("case_id", "entity").distinct()
+    for part in (own, traced, said, near):
+        full = full.join(part, ["case_id", "entity"], "left")
+    told = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(c).alias("cost"), F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias("value")) for t, c in COSTS.items()])
+    return full.select("case_id", "entity", F.inline(told))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.operators import causal, evaluation, logs, prepare, ranking, retrieval, scores
+from lantern.operators import causal, evaluation, evidence, logs, prepare, ranking, retrieval, scores
 from lantern.operators.graph import metric_name
 from lantern.plans import causal_queries as cq
 from lantern.plans import evaluation_queries as eq
@@ -150,7 +150,21 @@ def texts(s: SparkSession, d: str) -> DataFrame:
     return prepare.query_text(p, "profile_id", ["entity", "anomalous_metrics", "novel_log_templates"]).distinct()
 
 
+def told(s: SparkSession, d: str) -> DataFrame:
+    return evidence.tool_evidence(tq.universe(s, d), tq.evidence(s, d), tq.elevation(s, d), event_logs(s, d), tq.edges(s, d), logs.ERROR)
+
+
+def leaks(s: SparkSession, d: str) -> DataFrame:
+    """Scenario families whose cases are listed in more than one partition."""
+    cols = ["dataset", "system", "fault", "root_cause_service", "suite", "partition"]
+    m = table(s, d, "manifest_case", ["case_id", "listed_at", *cols]).groupBy("case_id").agg(F.max(F.struct("listed_at", *cols)).alias("m")).select("case_id", eq.label(F.col("m.partition")).alias("partition"))
+    family = eq.cases(s, d).where("entity is not null").select("case_id", "family")
+    return evaluation.leaked(m.join(family, "case_id"), "family", "partition").withColumn("partitions", F.array_join("partitions", ","))
+
+
 QUERIES = {
+    "tool_evidence": told,
+    "family_leakage": leaks,
     "metrics_unpivot": unpivoted,
     "service_alias": aliases,
     "dataset_filter": datasets,
@@ -205,6 +219,13 @@ al AS (SELECT case_id, entity, count(*) AS n FROM per WHERE top > mu + 3 * great
   UNION ALL SELECT case_id, container, count(*) FROM lines WHERE t BETWEEN {tq.CUTOFF} AND {tq.CUTOFF + 86400} AND regexp_matches(message, '(?i)\\b(error|exception|fail|failed|failure|fatal|timeout|refused|oom|panic|50[0-9]|unavailable)\\b') GROUP BY ALL),
 t AS (SELECT case_id, entity, CAST(sum(n) AS DOUBLE) AS score FROM al GROUP BY ALL), u AS (SELECT DISTINCT case_id, service AS entity FROM spans)
 SELECT case_id, entity, coalesce(score, 0) AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY coalesce(score, 0) DESC, entity) AS INTEGER) AS rank FROM u LEFT JOIN t USING (case_id, entity)""",
+    "tool_evidence": f"""WITH {tq.STEPS}, {tq.LATENCY}, {_LOGS},
+said AS (SELECT case_id, container AS entity, count(*) FILTER (regexp_matches(message, '(?i)\\b(error|exception|fail|failed|failure|fatal|timeout|refused|oom|panic|50[0-9]|unavailable)\\b')) AS l, count(*) FILTER (regexp_matches(lower(message), 'deploy|restarting|configuration changed|started container')) AS c FROM lines GROUP BY ALL),
+near AS (SELECT case_id, e AS entity, count(DISTINCT o) AS n FROM (SELECT case_id, src AS e, dst AS o FROM edges UNION ALL SELECT case_id, dst, src FROM edges) WHERE e <> o GROUP BY ALL),
+f AS (SELECT u.case_id, u.entity, coalesce(peak_active, 0) AS m, coalesce(score, 0) AS t, coalesce(l, 0) AS l, coalesce(n, 0) AS n, coalesce(has_episode, false)::INT AS h, coalesce(c, 0) AS c FROM uni u LEFT JOIN evidence USING (case_id, entity) LEFT JOIN elev USING (case_id, entity) LEFT JOIN said USING (case_id, entity) LEFT JOIN near USING (case_id, entity))
+SELECT case_id, entity, unnest(['metrics', 'traces', 'logs', 'neighbours', 'health', 'change']) AS tool, unnest([1, 3, 2, 1, 1, 2]) AS cost, unnest([m::DOUBLE, t::DOUBLE, l::DOUBLE, n::DOUBLE, h::DOUBLE, c::DOUBLE]) AS value FROM f""",
+    "family_leakage": f"""WITH {eq.EVAL}, p AS (SELECT case_id, nullif(regexp_replace(regexp_replace(lower(partition), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '') AS part FROM listed)
+SELECT family, string_agg(DISTINCT part, ',' ORDER BY part) AS partitions, count(*) AS cases FROM p JOIN cases USING (case_id) WHERE entity IS NOT NULL AND part IS NOT NULL GROUP BY family HAVING count(DISTINCT part) > 1""",
     "rank_hypothesis": f"SELECT case_id, entity, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, entity) AS INTEGER) AS rank FROM (SELECT u.case_id, u.entity, coalesce(z.max_z, 0) AS score FROM (WITH {tq.SPANS} SELECT DISTINCT case_id, service AS entity FROM spans) u LEFT JOIN ({cq.ORACLES['ridge_residuals']}) z USING (case_id, entity))",
     "next_query": f"""WITH {cq._PROFILES}, best AS (SELECT case_id, entity AS service, max(round(coalesce(ranker_score, 0), 2)) AS priority FROM prof WHERE entity IS NOT NULL GROUP BY ALL),
 tools AS (SELECT unnest(['metrics', 'traces', 'logs', 'neighbours', 'health', 'change']) AS tool, unnest([1, 3, 2, 1, 1, 2]) AS cost),

@@ -249,3 +249,20 @@ def test_index_ratio_and_keys(spark, rows):
     assert tuple(evaluation.geometric_ratio(pairs).first())[::2] == (2, 2.0)
     m = spark.createDataFrame([({"b": "2"},), ({"a": "1", "b": "2"},), (None,)], "m map<string,string>")
     assert [r.v for r in m.select(scalars.first_of(F.col("m"), "a", "b").alias("v")).collect()] == ["2", "1", None]
+
+
+def test_tool_evidence_and_leaks(spark, rows):
+    from lantern.operators import evidence
+
+    u = spark.createDataFrame([("k", "a"), ("k", "b"), ("k", "a")], "case_id string, entity string")
+    ev = spark.createDataFrame([("k", "a", 3, True)], "case_id string, entity string, peak_active int, has_episode boolean")
+    el = spark.createDataFrame([("k", "b", 0.25)], "case_id string, entity string, score double")
+    lo = spark.createDataFrame([("k", "a", "an error"), ("k", "a", "deploy done"), ("k", "a", None)], "case_id string, container string, message string")
+    ed = spark.createDataFrame([("k", "a", "b"), ("k", "b", "a"), ("k", "a", "a")], "case_id string, src string, dst string")
+    got = {(r.entity, r.tool): (r.cost, r.value) for r in evidence.tool_evidence(u, ev, el, lo, ed, "error").collect()}
+    assert got == {
+        ("a", "metrics"): (1, 3.0), ("a", "traces"): (3, 0.0), ("a", "logs"): (2, 1.0), ("a", "neighbours"): (1, 1.0), ("a", "health"): (1, 1.0), ("a", "change"): (2, 1.0),
+        ("b", "metrics"): (1, 0.0), ("b", "traces"): (3, 0.25), ("b", "logs"): (2, 0.0), ("b", "neighbours"): (1, 1.0), ("b", "health"): (1, 0.0), ("b", "change"): (2, 0.0),
+    }
+    c = spark.createDataFrame([("f", "dev"), ("f", "val"), ("f", "dev"), ("g", "dev"), (None, "dev"), (None, "val"), ("g", None)], "fam string, part string")
+    assert rows(evaluation.leaked(c, "fam", "part")) == [("f", ["dev", "val"], 3)]
