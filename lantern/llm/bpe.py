@@ -25,7 +25,10 @@ BLOCK = 512
 #: At most so many repeated words, of so many bytes at most, have their ids in the plan.
 MOST_KEPT, LONGEST_KEPT = 40_000, 64
 
-#: Primes: sizes of the two halves of the look-up tables, and multipliers that mix a pair of ids without overflow.
+#: Cells of each half of a table of words: the halves are told by the two halves of a word's CRC.
+HALF = 1 << 16
+
+#: Primes: sizes of the two halves of the table of pairs, and multipliers that mix a pair of ids without overflow.
 P1, P2 = 65521, 65519
 M1, M2 = 2147483629, 1640531527
 
@@ -42,7 +45,7 @@ def _two_homes(items: dict, spots, strict: bool = True) -> list:  # noqa: ANN001
 
     What finds no place is an error, or left out where ``strict`` is false.
     """
-    table: list = [None] * (P1 + P2)
+    table: list = [None] * (2 * HALF)
     for item in items:
         at, held = spots(item)[0], item
         for _ in range(500):
@@ -59,7 +62,7 @@ def _two_homes(items: dict, spots, strict: bool = True) -> list:  # noqa: ANN001
 
 def _crc_spots(text: str) -> tuple[int, int]:
     crc = zlib.crc32(text.encode("utf-8"))
-    return crc % P1, P1 + crc % P2
+    return crc & (HALF - 1), HALF + (crc >> 16)
 
 
 @lru_cache(maxsize=4)
@@ -185,7 +188,7 @@ def cut_words(text: Column) -> Column:
 
 def _cell(words: Column, values: Column, w: Column, crc: Column) -> Column:
     """The value of a word in a table of two homes, null for a word that isn't in it."""
-    one, two = (crc % P1).cast("int"), (F.lit(P1) + crc % P2).cast("int")
+    one, two = crc.bitwiseAND(F.lit(HALF - 1)).cast("int"), (F.shiftright(crc, 16) + HALF).cast("int")
     return F.when(F.get(words, one) == w, F.get(values, one)).when(F.get(words, two) == w, F.get(values, two))
 
 
