@@ -23,11 +23,11 @@ def test_aliases_are_exact(spark, rows):
 def test_changes_and_data_sets(spark):
     df = spark.createDataFrame([("Deployment done",), ("RESTARTING now",), ("Configuration Changed",), ("started container x",), ("restarted",), (None,)], "m string")
     assert [r.c for r in df.select(prepare.is_change(F.col("m")).alias("c")).collect()] == [True, True, True, True, False, False]
-    cases = spark.createDataFrame([("RE2", "x", "OB"), (None, "RE2-OB", None), (None, "RE2-SS", "ss"), ("RE1", "RE1-OB", "ob"), (None, None, None)], "suite string, dataset string, system string")
-    hits = lambda t: [r.h for r in cases.select(prepare.of_dataset(t, ["RE2"], F.col("suite"), F.col("dataset"), F.col("system")).alias("h")).collect()]
-    assert hits("re2") == [True, True, True, False, False]
-    assert hits("RE2-OB") == [True, True, False, False, False]
-    assert hits("re1-ob") == [False, False, False, True, False]
+    cases = spark.createDataFrame([("RX2", "x", "OB"), (None, "RX2-OB", None), (None, "RX2-SS", "ss"), ("RX1", "RX1-OB", "ob"), (None, None, None)], "suite string, dataset string, system string")
+    hits = lambda t: [r.h for r in cases.select(prepare.of_dataset(t, ["RX2"], F.col("suite"), F.col("dataset"), F.col("system")).alias("h")).collect()]
+    assert hits("rx2") == [True, True, True, False, False]
+    assert hits("RX2-OB") == [True, True, False, False, False]
+    assert hits("rx1-ob") == [False, False, False, True, False]
 
 
 def test_ordered_unique_and_query_text(spark, rows):
