@@ -10,20 +10,24 @@ order of observations that changes, words that change and an observation that is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.lineage import cut
+from lantern.lineage import cut, drop, lean
+from lantern.llm import gramjoin
 
 GRAM = 3
 CONTAINED = 0.6
 #: The smaller record has at least this part of the larger one's trigrams.
 LEAST_SIZE = 0.5
-#: Longs of the bit sketch that a probed trigram carries.
-SKETCH = 8
-
-#: Rows of one gram and side that meet in one task; more are spread over a grid of tasks.
-CELL = 2000
+#: Classes of the evaluation side that a task holds at once, at MEAN grams each; files of the index have no more, and not under LEAST_CELL.
+CELL, LEAST_CELL, MEAN = 65_536, 1000, 128
+#: Classes whose grams are counted for the order of all, and buckets that they are counted in (a power of 2).
+SAMPLE, BUCKETS = 100_000, 1 << 20
 
 WORD = r"[0-9]+|\p{Nd}+|\p{L}[\p{L}\p{N}]*"
 #: The last group of a number's digits, where it is a fraction, and what groups digits otherwise.
@@ -39,8 +43,9 @@ def words(text: Column) -> Column:
 
 def grams(hashes: Column) -> Column:
     """Distinct 64-bit hashes of the word trigrams, from the words' hashes; a shorter text has one gram of all its words, an empty one none."""
-    each = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
-    return F.array_distinct(F.slice(each, 1, F.greatest(F.size(hashes) - GRAM + 1, F.lit(1))))
+    # Bound as a variable: an expression that a lambda captures would be computed again for every word.
+    each = lambda hs: F.transform(hs, lambda h, i: F.xxhash64(h, F.get(hs, i + 1), F.get(hs, i + 2)))
+    return F.get(F.transform(F.array(hashes), lambda hs: F.array_distinct(F.slice(each(hs), 1, F.greatest(F.size(hs) - GRAM + 1, F.lit(1))))), 0)
 
 
 def clean_case(c: Column) -> Column:
@@ -58,38 +63,53 @@ def clean_split(c: Column) -> Column:
 def candidates(grammed: DataFrame) -> DataFrame:
     """(_a, _b): pairs of a training and an evaluation class that can share CONTAINED of the smaller one's grams; none that does is missing.
 
-    All records order their grams alike, rarest first.  Records of n and m grams that share s have their first common gram no later
-    than place n - s + 1 of the one and m - s + 1 of the other, and s is CONTAINED * min(n, m) at least.  So these prefixes are
-    joined.  A sketch has a bit for each gram; a bit that only one record has stands for a gram that isn't shared.
+    The grams of each class are written once, four bytes each, in files of at most CELL classes.  A task reads a block of the
+    evaluation side and its part of the training side (:mod:`lantern.llm.gramjoin`), so nothing is shuffled or copied for a frequent gram.
     """
-    each = grammed.select("_cls", "_t", "_e", F.size("_h").alias("_n"), F.explode("_h").alias("_g"))
-    freq = each.groupBy("_g").agg(F.count_if("_t").alias("_ft"), F.count_if("_e").alias("_fe")).where("_ft > 0 and _fe > 0")
-    # Grams without a partner are the rarest: they take the first places and needn't travel.
-    rare = freq.select(F.col("_g").alias("_x"), (F.col("_ft") * F.col("_fe")).alias("_f"), *[F.ceil(F.col(c) / CELL).cast("int").alias(n) for c, n in (("_ft", "_ct"), ("_fe", "_ce"))])
-    bits = [F.bit_or(F.when(F.pmod(F.shiftrightunsigned("_g", 6), F.lit(SKETCH)) == i, F.expr("shiftleft(1L, cast(_g & 63 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"_s{i}") for i in range(SKETCH)]
-    met = each.join(rare, F.col("_g") == F.col("_x")).groupBy("_cls", "_t", "_e", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_g", "_ct", "_ce"))).alias("_l"), *bits)
-    least = F.ceil(CONTAINED * F.ceil(LEAST_SIZE * F.col("_n")))
-    kept = met.select("*", F.size("_l").alias("_m"), F.slice("_l", 1, F.greatest(F.lit(0), (F.size("_l") - least + 1).cast("int"))).alias("_p"))
-    at = kept.select("_cls", "_t", "_e", "_n", "_m", *[f"_s{i}" for i in range(SKETCH)], F.col("_p._g").alias("_p"), F.posexplode("_p").alias("_i", "_at"))
-    at = at.select("*", "_at._g", "_at._ct", "_at._ce")
-    # _left: grams from this one on.  _short: within the prefix against any record that isn't smaller.  _prev: the gram before.
-    left, need = F.col("_m") - F.col("_i"), F.ceil(CONTAINED * F.col("_n")).cast("int")
-    placed = cut(at.select("_cls", "_t", "_e", "_n", "_m", need.alias("_need"), *[f"_s{i}" for i in range(SKETCH)], "_g", "_ct", "_ce", left.alias("_left"), (left >= need).alias("_short"), F.when(F.col("_i") > 0, F.get("_p", F.col("_i") - 1)).alias("_prev")))
-    # A gram of many rows is a grid: a row has its line, drawn by its class, and meets each line of the other side in one cell.
-    lot = lambda n: F.pmod(F.xxhash64("_cls"), F.col(n)).cast("int")
-    lines = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    t = placed.where("_t").withColumn("_cell", F.explode(F.transform(lines("_ce"), lambda x: lot("_ct") * F.col("_ce") + x))).alias("t")
-    e = placed.where("_e").withColumn("_cell", F.explode(F.transform(lines("_ct"), lambda x: x * F.col("_ce") + lot("_ce"))))
-    # The smaller record is within its short prefix, so the long rests of two prefixes needn't meet.
-    e = e.withColumn("_with", F.explode(F.when(F.col("_short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).alias("e")
-    need = F.least("t._need", "e._need")
-    near = (F.least("t._left", "e._left") >= need) & (F.least("t._n", "e._n") >= LEAST_SIZE * F.greatest("t._n", "e._n"))
-    # With the gram before in common as well, the pair has met there.
-    first = F.col("t._prev").isNull() | F.col("e._prev").isNull() | (F.col("t._prev") != F.col("e._prev"))
-    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}._s{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}._s{i}")))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}._s0").bitwiseAND(F.bitwise_not(F.col(f"{y}._s0")))))
-    sketched = (F.col("t._m") - alone("t", "e") >= need) & (F.col("e._m") - alone("e", "t") >= need)
-    on = (F.col("t._g") == F.col("e._g")) & (F.col("t._cell") == F.col("e._cell")) & (F.col("t._short") == F.col("e._with")) & (F.col("t._cls") != F.col("e._cls")) & near & sketched & first
-    return t.join(e, on).select(F.col("t._cls").alias("_a"), F.col("e._cls").alias("_b"))
+    spark = grammed.sparkSession
+    count, cores = grammed.count(), spark.sparkContext.defaultParallelism
+    some = grammed.where(F.pmod(F.xxhash64("_cls"), F.lit(-(-max(count, 1) // SAMPLE))) == 0).select("_t", "_e", F.explode("_h").alias("_g"))
+    # How rare a bucket of grams is only decides where they stand in the one order, so a sample will do; what is found doesn't depend on it.
+    seen = some.groupBy(F.col("_g").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("_k")).agg(F.count_if("_t").alias("_ft"), F.count_if("_e").alias("_fe"), F.count("*").alias("_f")).toArrow()
+    k, ft, fe, f = (seen.column(c).to_numpy().astype(np.int64) for c in seen.column_names)
+    rank = np.zeros(BUCKETS, np.uint8)
+    rank[k] = np.minimum(255, 4 * np.log2(1.0 + ft * fe))
+    mean = f.sum() / max(1, min(count, SAMPLE))
+    held = spark.sparkContext.broadcast(rank)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("_h")
+            at = h.offsets.to_numpy().astype(np.int64)
+            codes = gramjoin.ordered(at - at[0], h.values.to_numpy()[at[0] : at[-1]], held.value)
+            each = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(((at - at[0]) * 4).astype(np.int32)), pa.py_buffer(codes)])
+            for name, side in (("_t", "t"), ("_e", "e")):
+                own = pa.table([batch.column("_cls"), each, pa.array([side] * len(h))], ["_cls", "_codes", "_side"]).filter(batch.column(name))
+                yield from own.to_batches()
+
+    # Files are small enough for some tasks per core, and for what a task may hold.
+    rows = max(1, min(CELL, max(LEAST_CELL, -(-count // (4 * cores))), int(CELL * MEAN / max(MEAN, mean))))
+    index = cut(grammed.where("size(_h) > 0").select("_cls", "_t", "_e", "_h").mapInArrow(ordered, "_cls bigint, _codes binary, _side string"), "_side", maxRecordsPerFile=rows)
+    files = index.groupBy(F.input_file_name().alias("file"), "_side").agg(F.count("*").alias("n")).collect()
+
+    def packed(side: str, most: int) -> list[list[str]]:
+        """The side's files in groups of at most ``most`` classes, but for a file that has more."""
+        groups, size = [], most + 1
+        for r in sorted((r for r in files if r["_side"] == side), key=lambda r: r["file"]):
+            if size + r["n"] > most:
+                groups, size = [*groups, []], 0
+            groups[-1].append(r["file"])
+            size += r["n"]
+        return groups
+
+    blocks = packed("e", max(rows, min(CELL, int(CELL * MEAN / max(MEAN, mean)))))
+    training = sum(r["n"] for r in files if r["_side"] == "t")
+    parts = packed("t", max(rows, -(-training * len(blocks) // (8 * cores))))
+    cells = [(e, t) for e in blocks for t in parts]
+    numbers = spark.range(0, len(cells), 1, max(1, len(cells))).mapInArrow(gramjoin.near(spark.sparkContext.broadcast(cells), CONTAINED, LEAST_SIZE), "_a bigint, _b bigint")
+    pairs = cut(numbers)
+    drop(index)
+    return pairs
 
 
 def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> DataFrame:
@@ -97,28 +117,40 @@ def text_overlaps(records: DataFrame, record: str, side: str, text: str) -> Data
 
     Null and empty texts, and null record ids or sides, match nothing.  Repeated rows count once.
     """
+    with lean(records.sparkSession):
+        return _text_overlaps(records, record, side, text)
+
+
+def _text_overlaps(records: DataFrame, record: str, side: str, text: str) -> DataFrame:
     rows = records.select(F.col(record).alias("_id"), F.col(side).alias("_side"), words(F.col(text)).alias("_words")).where("_id is not null and _side in ('t', 'e') and size(_words) > 0")
-    keyed = rows.withColumn("_key", F.md5(F.concat_ws(" ", "_words")))
-    by_key = keyed.groupBy("_key").agg(F.any_value("_words").alias("_words"), F.max(F.col("_side") == "t").alias("_t"), F.max(F.col("_side") == "e").alias("_e"))
-    # The number of a class travels with every gram.  It is written with the class, so it is unique and doesn't change on a retry.
-    classes = cut(by_key.withColumn("_cls", F.monotonically_increasing_id()).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))))
-    member = keyed.select("_id", "_side", "_key")
-    # Written once: several branches read the grams.
-    grammed = cut(classes.select("_cls", "_t", "_e", grams(F.col("_hashes")).alias("_h")))
-    met_pairs = candidates(grammed)
+    # Texts are kept as text: compressed, that is a quarter of their words' hashes.
+    keyed = cut(rows.select("_id", "_side", F.array_join("_words", " ").alias("_text")).withColumn("_key", F.unhex(F.md5("_text"))), compression="zstd")
+    by_key = keyed.groupBy("_key").agg(F.any_value("_text").alias("_text"), F.max(F.col("_side") == "t").alias("_t"), F.max(F.col("_side") == "e").alias("_e"))
+    # The number of a class is written with the class, so it is unique and doesn't change on a retry.
+    classes = cut(by_key.withColumn("_cls", F.monotonically_increasing_id()), compression="zstd")
+    member = cut(keyed.select("_id", "_side", "_key").distinct(), compression="zstd")
+    drop(keyed)
+    split = F.split("_text", " ")
+    hashes = F.transform(split, lambda w: F.xxhash64(w))
+    met_pairs = candidates(classes.select("_cls", "_t", "_e", grams(hashes).alias("_h")))
     # Texts of the same words in another order may share no trigram at all.
-    bags = classes.select("_cls", "_t", "_e", F.md5(F.array_join(F.sort_array("_hashes"), " ")).alias("_bag"))
+    bags = classes.select("_cls", "_t", "_e", F.unhex(F.md5(F.array_join(F.sort_array(split), " "))).alias("_bag"))
     same_bag = bags.where("_t").select(F.col("_cls").alias("_a"), "_bag").join(bags.where("_e").select(F.col("_cls").alias("_b"), "_bag"), "_bag").where("_a <> _b").select("_a", "_b")
     pairs = cut(met_pairs.withColumn("_same", F.lit(False)).unionAll(same_bag.withColumn("_same", F.lit(True))).groupBy("_a", "_b").agg(F.max("_same").alias("_same")))
-    left = grammed.select(F.col("_cls").alias("_a"), F.col("_h").alias("_ga"))
-    right = grammed.select(F.col("_cls").alias("_b"), F.col("_h").alias("_gb"))
-    both = pairs.join(left, "_a").join(right, "_b")
+    drop(met_pairs)
+    # The texts that are in a pair, few of all; what is compared exactly are their grams.
+    touched = pairs.select(F.explode(F.array("_a", "_b")).alias("_cls")).distinct()
+    asked = cut(classes.select("_cls", "_text").join(touched, "_cls", "left_semi"), compression="zstd")
+    left, right = (asked.select(F.col("_cls").alias(c), F.col("_text").alias(g)) for c, g in (("_a", "_ga"), ("_b", "_gb")))
+    both = pairs.join(left, "_a").join(right, "_b").select("_a", "_b", "_same", *[grams(F.transform(F.split(g, " "), lambda w: F.xxhash64(w))).alias(g) for g in ("_ga", "_gb")])
     common, less, more = F.size(F.array_intersect("_ga", "_gb")), F.least(F.size("_ga"), F.size("_gb")), F.greatest(F.size("_ga"), F.size("_gb"))
     near = both.where(F.col("_same") | ((less >= LEAST_SIZE * more) & (common >= CONTAINED * less))).select("_a", "_b")
     equal = classes.where("_t and _e").select(F.col("_cls").alias("_a"), F.col("_cls").alias("_b"))
     matched = cut(near.unionAll(equal))
     # Only here copies are expanded, since every pair of records is asked for; AQE splits classes with very many members.
-    named = member.join(classes.select(F.col("_key").alias("_k"), "_cls"), F.col("_key") == F.col("_k"))
+    named = cut(member.join(classes.select(F.col("_key").alias("_k"), "_cls"), F.col("_key") == F.col("_k")).select("_id", "_side", "_cls"))
+    for done in (pairs, asked, classes, member):
+        drop(done)
     a = named.where("_side = 't'").select(F.col("_cls").alias("_a"), F.col("_id").alias("a"))
     b = named.where("_side = 'e'").select(F.col("_cls").alias("_b"), F.col("_id").alias("b"))
     return matched.join(a, "_a").join(b, "_b").select("a", "b").distinct()
@@ -129,10 +161,8 @@ def overlaps(table: DataFrame) -> DataFrame:
 
     By case: an equi-join on the clean case id.  By query: :func:`text_overlaps`.  Null splits belong to neither side.
     """
-    cols = ["record_id", "split", "case_id", "query"]
-    once = table.select(*cols).where("record_id is not null").distinct()
     split = clean_split(F.col("split"))
-    rows = cut(once.select("record_id", F.when(split == "train", "t").when(split.isNotNull(), "e").alias("side"), clean_case(F.col("case_id")).alias("case"), "query").where("side is not null"))
+    rows = table.select("record_id", F.when(split == "train", "t").when(split.isNotNull(), "e").alias("side"), clean_case(F.col("case_id")).alias("case"), "query").where("record_id is not null and side is not null")
     t = rows.where("side = 't' and case is not null").select(F.col("record_id").alias("train_id"), "case").distinct()
     e = rows.where("side = 'e' and case is not null").select(F.col("record_id").alias("evaluation_id"), "case").distinct()
     by_case = t.join(e, "case").select("train_id", "evaluation_id")

@@ -125,3 +125,45 @@ def test_a_gram_of_many_rows_is_spread_and_loses_nothing(spark, monkeypatch):
     rows = [(i, "train" if i < 60 else "val", None, "one two three four five six seven u%d" % i) for i in range(100)]
     got = {tuple(r) for r in crosssplit.overlaps(spark.createDataFrame([(*r, None, "x") for r in rows], S)).collect()}
     assert got == {(a, b) for a in range(60) for b in range(60, 100)}
+
+
+def test_disk_follows_the_input(spark, tmp_path):
+    """Stock phrases of thousands of texts: what lies on disk at once stays within some times the table."""
+    import threading
+    from pathlib import Path
+
+    rng = random.Random(9)
+    rows = [(i, "val" if i % 3 == 0 else "train", f"c_{i}", "Known: " + "; ".join(text(rng, 8)), None, "x") for i in range(6000)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, S).write.option("compression", "zstd").parquet(folder)
+    given = sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+    own = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    own.append(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+
+    def there():
+        sizes = {}
+        for d in own:
+            for p in Path(d).rglob("*"):
+                try:
+                    if p.name.startswith(("shuffle_", "part-")):
+                        sizes[str(p)] = p.stat().st_size
+                except OSError:  # gone meanwhile
+                    pass
+        return sizes
+
+    before, most, over = there(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.is_set():
+            most = max(most, sum(n for p, n in there().items() if p not in before))
+            over.wait(0.05)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        crosssplit.overlaps(spark.read.parquet(folder)).count()
+    finally:
+        over.set()
+        watcher.join()
+    assert 0 < most <= 6 * given
