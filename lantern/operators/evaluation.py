@@ -260,10 +260,15 @@ def floor_percentile(df: DataFrame, by: Sequence[str], value: str, q: float) ->
     return placed.join(n, on).where(F.col("_pos") == F.least(F.floor(F.col("n") * q) + 1, F.col("n"))).select(*by, "n", F.col("_v").alias(value))
 
 
-def annotation_sample(queries: DataFrame, ranking: DataFrame, stratum: str, per_stratum: int = 2, top: int = 3) -> DataFrame:
-    """(query, stratum, rank, doc): the first queries of every stratum with their top documents; a null stratum is 'unknown'.  That limit is the feature."""
+def first_of_stratum(queries: DataFrame, stratum: str, per_stratum: int = 2) -> DataFrame:
+    """(query, stratum): the first queries of every stratum; a null stratum is 'unknown'.  That limit is the feature."""
     named = queries.select("query", F.coalesce(F.col(stratum), F.lit("unknown")).alias(stratum)).distinct()
-    first = named.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("query"))).where(F.col("_r") <= per_stratum).drop("_r")
+    return named.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("query"))).where(F.col("_r") <= per_stratum).drop("_r")
+
+
+def annotation_sample(queries: DataFrame, ranking: DataFrame, stratum: str, per_stratum: int = 2, top: int = 3) -> DataFrame:
+    """(query, stratum, rank, doc): the queries of :func:`first_of_stratum` with their top documents; the ranking need have no others."""
+    first = first_of_stratum(queries, stratum, per_stratum)
     return first.join(ranking.where(F.col("rank") <= top).select("query", "rank", "doc"), "query").select("query", stratum, "rank", "doc")
 
 

@@ -126,7 +126,9 @@ def prefixes(s: SparkSession, d: str) -> DataFrame:
 
 def sample(s: SparkSession, d: str) -> DataFrame:
     q = rq.docs(s, d).where("doc % 100 = 0").select(F.col("doc").alias("query"), F.col("category").alias("stratum"))
-    return evaluation.annotation_sample(q, rq.bm25(s, d), "stratum")
+    # All documents are ranked, but only for the queries that are drawn.
+    asked = rq.queries(s, d).join(evaluation.first_of_stratum(q, "stratum").select("query"), "query", "left_semi")
+    return evaluation.annotation_sample(q, retrieval.bm25(rq.docs(s, d), asked), "stratum")
 
 
 def regraded(s: SparkSession, d: str) -> DataFrame:
